@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from .exact_dedup import OP6_SQL, op6_exact_dedup
+from .packing import op1_best_fit_packing
 from .sharding import op2_sharding
 
 QUERIES = {
+    "op1_best_fit_packing": op1_best_fit_packing,
     "op2_sharding": op2_sharding,
     "op6_exact_dedup": op6_exact_dedup,
 }
