@@ -5,10 +5,12 @@ from __future__ import annotations
 from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .packing import op1_best_fit_packing
 from .sharding import op2_sharding
+from .toxicity import op5_toxicity
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_sharding": op2_sharding,
+    "op5_toxicity": op5_toxicity,
     "op6_exact_dedup": op6_exact_dedup,
 }
 ORACLES = {
