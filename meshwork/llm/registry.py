@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .exact_dedup import OP6_SQL, op6_exact_dedup
+from .minhash import op8_minhash_near_dedup
 from .packing import op1_best_fit_packing
 from .sharding import op2_sharding
 from .toxicity import op5_toxicity
@@ -12,6 +13,7 @@ QUERIES = {
     "op2_sharding": op2_sharding,
     "op5_toxicity": op5_toxicity,
     "op6_exact_dedup": op6_exact_dedup,
+    "op8_minhash_near_dedup": op8_minhash_near_dedup,
 }
 ORACLES = {
     "op6_exact_dedup": OP6_SQL,
