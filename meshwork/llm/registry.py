@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from .decontamination import OP9_SQL, op9_benchmark_decontamination
 from .exact_dedup import OP6_SQL, op6_exact_dedup
+from .linededup import OP10_SQL, op10_line_dedup
 from .minhash import op8_minhash_near_dedup
 from .packing import op1_best_fit_packing
 from .pii import op7_pii
+from .repeats import op3_suffix_array_dedup
 from .secrets import op4_secret_scan
 from .sharding import op2_sharding
 from .toxicity import op5_toxicity
@@ -14,14 +16,17 @@ from .toxicity import op5_toxicity
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_sharding": op2_sharding,
+    "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op4_secret_scan": op4_secret_scan,
     "op5_toxicity": op5_toxicity,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_pii": op7_pii,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
+    "op10_line_dedup": op10_line_dedup,
 }
 ORACLES = {
     "op6_exact_dedup": OP6_SQL,
     "op9_benchmark_decontamination": OP9_SQL,
+    "op10_line_dedup": OP10_SQL,
 }
