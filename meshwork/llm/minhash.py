@@ -9,8 +9,11 @@ Buckets give links without all pairs of their members:
 1. Rows with the same set are one node.
 2. In a few rounds, each bucket that still holds several components names a centre, and its
    members of other components are verified against that centre. Links merge components.
-3. What is left (members that no centre reached) is compared across components within a bucket,
-   each pair once, if sizes and registers don't rule the link out; so no link between components
+3. After the first round, the shingles of the nodes in open buckets are counted. A shingle that
+   one node alone has is in no intersection, which bounds the similarity of that node to any other;
+   nodes that can reach the threshold with none leave, and pairs that can't are never made.
+4. What is left (members that no centre reached) is compared across components within a bucket,
+   each pair once, if bounds and registers don't rule the link out; so no link between components
    is lost to the choice of centres.
 A pair is verified by the likelihood of its registers (given the sizes), which rejects it only
 where a similarity at the threshold is four standard deviations away, and then on the full sets.
@@ -144,8 +147,8 @@ def _profiles(words: int):
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 0):
-            members = [s.tobytes() for s in shingle_sets(*utf8(batch.column(0)), words)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(members, pa.binary())], names=[*batch.schema.names[1:], "members"])
+            members = [s.view(np.int64) for s in shingle_sets(*utf8(batch.column(0)), words)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(members, pa.list_(pa.int64()))], names=[*batch.schema.names[1:], "members"])
 
     return run
 
@@ -157,7 +160,7 @@ def _verify(percent: int):
             linked = np.zeros(batch.num_rows, bool)
             ra, rb = (np.array(batch.column(c).flatten(), np.int16).view(np.uint16).reshape(-1, REGISTERS) for c in ("ra", "rb"))
             for k, (x, y) in enumerate(zip(batch.column("ma"), batch.column("mb"), strict=True)):
-                a, b = np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)
+                a, b = x.values.to_numpy(), y.values.to_numpy()
                 if likely_similarity(ra[k], rb[k], len(a), len(b)) >= least:
                     both = len(np.intersect1d(a, b, assume_unique=True))
                     linked[k] = 100 * both >= percent * (len(a) + len(b) - both)
@@ -166,8 +169,18 @@ def _verify(percent: int):
     return run
 
 
-def _similar_sizes(x: str, y: str, percent: int):
-    return F.least(x, y) * 100 >= F.greatest(x, y) * percent
+def _possible(na, ua, nb, ub, percent: int):
+    """Whether sets of na and nb members, ua and ub of which no other set has, can be linked."""
+    both = F.least(F.col(na) - F.col(ua), F.col(nb) - F.col(ub))
+    return both * 100 >= (F.col(na) + F.col(nb) - both) * percent
+
+
+def _unshared(open_nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, u): how many members of each open node no other open node has."""
+    members = open_nodes.join(sets.select("node", "members"), "node").select("node", F.explode("members").alias("s"))
+    lone = members.groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("node")).where(F.col("c") == 1)
+    counts = lone.groupBy("node").agg(F.count(F.lit(1)).alias("u"))
+    return open_nodes.join(counts, "node", "left").select("node", F.coalesce("u", F.lit(0).cast("long")).alias("u"))
 
 
 def near_duplicates(
@@ -210,10 +223,11 @@ def near_duplicates(
     every = nodes.select("node", "n", F.posexplode("bands").alias("band", "key"))
     counts = every.groupBy("key").agg(F.count(F.lit(1)).alias("members"))
     buckets = attach(every, counts.where(F.col("members") > 1), ["key"], "members", nodes.count() * BANDS)
-    buckets = materialize(buckets.where(F.col("members") > 1).drop("members"), "buckets")
+    buckets = buckets.where(F.col("members") > 1).select("node", "n", F.lit(0).cast("long").alias("u"), "band", "key")
+    buckets = materialize(buckets, "buckets")
     candidates = buckets.select("node").distinct()
     wanted = source.join(candidates.withColumnRenamed("node", "row_key"), "row_key").select("text", F.col("row_key").alias("node"))
-    sets = wanted.mapInArrow(_sets(words), "node long, members binary").join(nodes.select("node", "registers"), "node")
+    sets = wanted.mapInArrow(_sets(words), "node long, members array<long>").join(nodes.select("node", "registers"), "node")
     sets = materialize(sets, "sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -223,11 +237,17 @@ def near_duplicates(
 
     labels = None
     for k in range(rounds + 1):
-        if labels is None:
-            placed = buckets.withColumn("component", F.col("node"))
-        else:
-            placed = buckets.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        centre = F.min(F.struct(F.xxhash64(F.lit(k), "node").alias("h"), F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a")))
+        if k == 1:
+            placed = _named(buckets, labels)
+            still = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("members"))
+            still = attach(placed, still.where(F.col("x") < F.col("y")), ["key"], "members", nodes.count() * BANDS).where(F.col("x").isNotNull())
+            unshared = materialize(_unshared(still.select("node").distinct(), sets), "unshared")
+            narrowed = still.select("node", "n", "band", "key").join(unshared, "node")
+            narrowed = narrowed.where((F.col("n") - F.col("u")) * 100 >= F.col("n") * percent).select("node", "n", "u", "band", "key")
+            whole, buckets = buckets, materialize(narrowed, "open")
+            discard(whole)
+        placed = _named(buckets, labels)
+        centre = F.min(F.struct(F.xxhash64(F.lit(k), "node").alias("h"), F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("u").alias("u_a"), F.col("component").alias("c_a")))
         open_keys = (
             placed.groupBy("key")
             .agg(F.count(F.lit(1)).alias("members"), centre.alias("centre"), F.min("component").alias("x"), F.max("component").alias("y"))
@@ -236,7 +256,7 @@ def near_duplicates(
         )
         placed = attach(placed, open_keys, ["key"], "members", nodes.count() * BANDS).where(F.col("centre").isNotNull())
         if k < rounds:
-            far = placed.where((F.col("component") != F.col("centre.c_a")) & _similar_sizes("n", "centre.n_a", percent))
+            far = placed.where((F.col("component") != F.col("centre.c_a")) & _possible("n", "u", "centre.n_a", "centre.u_a", percent))
             pairs = far.select(F.col("centre.a").alias("a"), F.col("node").alias("b")).distinct()
         else:
             pairs = _across(placed, nodes, percent)
@@ -266,11 +286,18 @@ def near_duplicates(
     return found.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), own.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
+def _named(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """buckets with the component of each node, itself as long as it has none."""
+    if labels is None:
+        return buckets.withColumn("component", F.col("node"))
+    return buckets.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
 def _across(placed: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs of a bucket in different components that sizes and registers don't rule out, once each."""
     profile = nodes.select("node", "registers", "bands")
-    x = placed.select("key", "band", "node", "n", "component").join(profile, "node")
-    a, b = (x.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("band", "node", "n", "component", "registers", "bands"))) for s in "ab")
+    x = placed.select("key", "band", "node", "n", "u", "component").join(profile, "node")
+    a, b = (x.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("band", "node", "n", "u", "component", "registers", "bands"))) for s in "ab")
     p = percent / 100
     least = math.floor(REGISTERS * (p - 4 * math.sqrt(p * (1 - p) / REGISTERS)))
     earlier = F.exists(F.sequence(F.lit(0), F.col("band_a")), lambda i: (i < F.col("band_a")) & (F.get("bands_a", i) == F.get("bands_b", i)))
@@ -278,7 +305,7 @@ def _across(placed: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     rules = (
         (a["key"] == b["key"])
         & (F.col("component_a") < F.col("component_b"))
-        & _similar_sizes("n_a", "n_b", percent)
+        & _possible("n_a", "u_a", "n_b", "u_b", percent)
         & ~earlier
         & (equal >= least)
     )
