@@ -68,10 +68,12 @@ def exact_dedup(
     *,
     keep: str = "largest",
     fan_in: int = 8,
+    carry_key: bool = False,
 ) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
-    keep: 'largest' or 'smallest' identifier of a group stays.
+    keep: 'largest' or 'smallest' identifier of a group stays. carry_key: return row_key too, the
+    place of the row in a scan of docs.
 
     Defined cases: a null text is the empty text; null identifiers are smaller than all others;
     rows that repeat both identifier and text count in group_size, and exactly one of them is
@@ -88,6 +90,7 @@ def exact_dedup(
     found = attach(rows, groups, DIGEST, "group_size", rows.count())
     single = F.col("keep").isNull()
     return found.select(
+        *(["row_key"] if carry_key else []),
         "doc_id",
         F.when(single, F.col("doc_id")).otherwise(F.col("keep.doc_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),

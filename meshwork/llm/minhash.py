@@ -191,13 +191,14 @@ def near_duplicates(
     rounds: int = 3,
     id_col: str = "doc_id",
     text_col: str = "text",
+    carry_key: bool = False,
 ) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept.
 
     A text's set holds its distinct shingles of `words` words (lower-cased A-Z, split at ASCII white
     space); a text of fewer words is one shingle. Texts are linked at percent * union <= 100 *
     intersection. component_id is the smallest doc_id among all rows that links reach; kept says
-    that it is the row's own.
+    that it is the row's own. carry_key: return row_key too, the place of the row in a scan of docs.
 
     Defined cases: null, empty and blank texts have no shingles and are linked with nothing; rows
     without an identifier take part, get the smallest identifier of their component, and are kept
@@ -283,7 +284,8 @@ def near_duplicates(
     classes = classes.where((F.col("copies") > 1) | (F.col("classes") > 1)).select(*same, "copies", "component_id", F.lit(True).alias("grouped"))
     found = attach(rows.select("row_key", "doc_id", *same), materialize(classes, "classes"), same, "copies", total)
     own = F.when(F.col("grouped"), F.col("component_id")).otherwise(F.col("doc_id"))
-    return found.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), own.eqNullSafe(F.col("doc_id")).alias("kept"))
+    key = ["row_key"] if carry_key else []
+    return found.select(*key, "doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), own.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
 def _named(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:

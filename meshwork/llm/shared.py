@@ -59,12 +59,16 @@ def keyed(df: DataFrame, *columns: Column) -> DataFrame:
     the same files, so that one plan may aggregate narrow columns and another come back for the
     text. Anything else (a shuffle below, a join) is written to scratch first.
     """
-    plan = df._jdf.queryExecution().optimizedPlan()
-    pure = all(n in ("Project", "LogicalRelation", "Filter") for n in _node_names(plan))
-    out = df.select(*columns) if pure else materialize(df.select(*columns), "keyed")
+    out = df.select(*columns) if is_scan(df) else materialize(df.select(*columns), "keyed")
     return out.select(F.monotonically_increasing_id().alias("row_key"), *out.columns)
 
 
+def is_scan(df: DataFrame) -> bool:
+    """Whether df only reads files, so that its rows have the same places in every plan over it."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    return all(n in ("Project", "LogicalRelation") for n in _node_names(plan))
+
+
 def _node_names(plan) -> Iterator[str]:
     yield plan.nodeName().split(" ")[0]
     children = plan.children()

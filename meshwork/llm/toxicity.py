@@ -201,8 +201,8 @@ def fit(
     return weights
 
 
-def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text", *carried: Column) -> DataFrame:
-    """doc_id, score of every row, and the carried columns."""
+def score(docs: DataFrame, weights: np.ndarray, carried: tuple[Column, ...] = (), keep_text: bool = False) -> DataFrame:
+    """doc_id, the carried columns, the text if it is to be kept, and the score of every row."""
     model = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))  # WIDTH numbers, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,10 +222,12 @@ def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col
                         z += v
                 out[k] = z
             scores = 1 / (1 + np.exp(-np.clip(out, -500, 500)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores)], names=[*batch.schema.names[1:], "score"])
+            kept = [batch.column(0)] if keep_text else []
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *kept, pa.array(scores)], names=names)
 
-    rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("doc_id"), *carried)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
+    rows = docs.select(F.col("text").cast("string").alias("text"), "doc_id", *carried)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:] + rows.schema.fields[: int(keep_text)])
+    names = [*rows.columns[1:], *rows.columns[: int(keep_text)], "score"]
     return rows.mapInArrow(run, f"{fields}, score double")
 
 
@@ -238,8 +240,9 @@ def toxicity(
     counterfactual: float = 1.0,
     identity_terms: dict[str, tuple[str, ...]] = IDENTITY_TERMS,
     carried: tuple[Column, ...] = (),
+    keep_text: bool = False,
 ) -> DataFrame:
-    """doc_id, score (0 to 1) of every row of docs, and the carried columns.
+    """doc_id, score (0 to 1) of every row of docs, the carried columns and, if asked for, the text.
 
     usable: a condition on the columns of labels (doc_id, toxic) that says which may be learnt from.
     most_rows: bound of the training sample, the labelled rows with the smallest hashes of doc_id.
@@ -251,7 +254,7 @@ def toxicity(
     """
     sample = training_rows(docs, labels.select("doc_id", "toxic"), usable, most_rows, identity_terms)
     weights = fit(*sample, counterfactual=counterfactual)
-    return score(docs, weights, "doc_id", "text", *carried)
+    return score(docs, weights, carried, keep_text)
 
 
 def fold(doc_id: Column) -> Column:
