@@ -13,7 +13,7 @@ Buckets give links without all pairs of their members:
    one node alone has is in no intersection, which bounds the similarity of that node to any other;
    nodes that can reach the threshold with none leave, and pairs that can't are never made.
 4. What is left (members that no centre reached) is compared across components within a bucket,
-   each pair once, if bounds and registers don't rule the link out; so no link between components
+   each pair once, if bounds and further registers don't rule the link out; so no link between components
    is lost to the choice of centres.
 A pair is verified by the likelihood of its registers (given the sizes), which rejects it only
 where a similarity at the threshold is four standard deviations away, and then on the full sets.
@@ -34,6 +34,8 @@ from .shared import attach, discard, keyed, materialize, read_table, slices, spr
 
 BAND, BANDS = 5, 28
 REGISTERS = BAND * BANDS
+#: Further registers of nodes that are compared across components, of which one bit each is kept.
+BITS = 1024
 #: Scale of the registers: base, rate, and the largest value of a 16-bit register.
 BASE, RATE, LARGEST = 1.001, 20.0, 65535
 
@@ -44,6 +46,7 @@ _BYTE[65:91] = _BYTE[97:123]  # A-Z count as a-z
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _XOR, _ODD = _SEEDS[:REGISTERS], _SEEDS[1000 : 1000 + REGISTERS] | _U(1)
+_XOR_BITS, _ODD_BITS = _SEEDS[1200 : 1200 + BITS], _SEEDS[2300 : 2300 + BITS] | _U(1)
 _STEP = _SEEDS[2000:2064] | _U(1)
 
 
@@ -86,12 +89,12 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> Iterator[
                 yield np.zeros(0, _U)
 
 
-def sketch(members: np.ndarray) -> np.ndarray:
+def sketch(members: np.ndarray, xor: np.ndarray = _XOR, odd: np.ndarray = _ODD) -> np.ndarray:
     """The registers of a set."""
-    least = np.full(REGISTERS, np.iinfo(_U).max, _U)
+    least = np.full(len(xor), np.iinfo(_U).max, _U)
     with np.errstate(over="ignore"):
-        for i in range(0, len(members), 512):
-            least = np.minimum(least, ((members[i : i + 512, None] ^ _XOR) * _ODD).min(0))
+        for i in range(0, len(members), 256):
+            least = np.minimum(least, ((members[i : i + 256, None] ^ xor) * odd).min(0))
     x = -np.log1p(-(least.astype(np.float64) + 0.5) / 2.0**64)
     k = np.floor(1 + np.log(RATE / np.maximum(x, 1e-300)) / math.log(BASE))
     return np.clip(k, 0, LARGEST).astype(np.uint16)
@@ -126,7 +129,7 @@ def band_keys(registers: np.ndarray) -> np.ndarray:
 
 def _profiles(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 0):
+        for batch in slices(batches, 0, 1 << 20):
             n, one, two, registers, keys = [], [], [], [], []
             for s in shingle_sets(*utf8(batch.column(0)), words):
                 n.append(len(s))
@@ -146,13 +149,31 @@ def _profiles(words: int):
 
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 0):
+        for batch in slices(batches, 0, 1 << 20):
             members = [s.view(np.int64) for s in shingle_sets(*utf8(batch.column(0)), words)]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(members, pa.list_(pa.int64()))], names=[*batch.schema.names[1:], "members"])
 
     return run
 
 
+def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, b0, b1, ...): the lowest bits of the further registers of each set, 64 to a number.
+
+    Two sets with similarity J have a share of (1 + J) / 2 of these bits in common, and a count of
+    different bits is a few machine instructions."""
+    names = [f"b{k}" for k in range(BITS // 64)]
+    for batch in batches:
+        low = [sketch(x.values.to_numpy().view(_U), _XOR_BITS, _ODD_BITS) & 1 for x in batch.column(1)]
+        packed = np.packbits(np.array(low, np.uint8).reshape(-1, BITS), axis=1).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, np.ascontiguousarray(packed.T))], names=["node", *names])
+
+
+def _most_different_bits(percent: int) -> int:
+    """Four standard deviations above what sets at the threshold have."""
+    p = (1 + percent / 100) / 2
+    return math.ceil(BITS * (1 - p + 4 * math.sqrt(p * (1 - p) / BITS)))
+
+
 def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least = percent / 100 - 4 * math.sqrt(percent / 100 * (1 - percent / 100) / REGISTERS)
@@ -248,7 +269,9 @@ def near_duplicates(
             whole, buckets = buckets, materialize(narrowed, "open")
             discard(whole)
         placed = _named(buckets, labels)
-        centre = F.min(F.struct(F.xxhash64(F.lit(k), "node").alias("h"), F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("u").alias("u_a"), F.col("component").alias("c_a")))
+        chance = F.pmod(F.xxhash64(F.lit(k), "node"), F.lit(1 << 20))
+        # sets with few members of their own are near the middle of their group and reach most of it
+        centre = F.min(F.struct((F.col("u") if k == 1 else F.lit(0)).alias("o"), chance.alias("h"), F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("u").alias("u_a"), F.col("component").alias("c_a")))
         open_keys = (
             placed.groupBy("key")
             .agg(F.count(F.lit(1)).alias("members"), centre.alias("centre"), F.min("component").alias("x"), F.max("component").alias("y"))
@@ -260,7 +283,7 @@ def near_duplicates(
             far = placed.where((F.col("component") != F.col("centre.c_a")) & _possible("n", "u", "centre.n_a", "centre.u_a", percent))
             pairs = far.select(F.col("centre.a").alias("a"), F.col("node").alias("b")).distinct()
         else:
-            pairs = _across(placed, nodes, percent)
+            pairs = _across(placed, nodes, sets, percent)
         new = materialize(verified(pairs), f"links{k}")
         if labels is None:
             labels = components(new)
@@ -295,21 +318,22 @@ def _named(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
     return buckets.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
-def _across(placed: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a bucket in different components that sizes and registers don't rule out, once each."""
-    profile = nodes.select("node", "registers", "bands")
-    x = placed.select("key", "band", "node", "n", "u", "component").join(profile, "node")
-    a, b = (x.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("band", "node", "n", "u", "component", "registers", "bands"))) for s in "ab")
-    p = percent / 100
-    least = math.floor(REGISTERS * (p - 4 * math.sqrt(p * (1 - p) / REGISTERS)))
+def _across(placed: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a bucket in different components that bounds and bits don't rule out, once each."""
+    names = [f"b{k}" for k in range(BITS // 64)]
+    members = placed.select("node").distinct().join(sets.select("node", "members"), "node").select("node", "members")
+    bits = members.mapInArrow(_bits, "node long, " + ", ".join(f"{b} long" for b in names))
+    x = placed.select("key", "band", "node", "n", "u", "component").join(nodes.select("node", "bands"), "node").join(bits, "node")
+    x = materialize(x, "across")
+    a, b = (x.select("key", *(F.col(c).alias(f"{c}_{s}") for c in x.columns if c != "key")) for s in "ab")
+    different = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in names), F.lit(0))
     earlier = F.exists(F.sequence(F.lit(0), F.col("band_a")), lambda i: (i < F.col("band_a")) & (F.get("bands_a", i) == F.get("bands_b", i)))
-    equal = F.size(F.filter(F.zip_with("registers_a", "registers_b", lambda r, s: r == s), lambda e: e))
     rules = (
         (a["key"] == b["key"])
         & (F.col("component_a") < F.col("component_b"))
         & _possible("n_a", "u_a", "n_b", "u_b", percent)
+        & (different <= _most_different_bits(percent))
         & ~earlier
-        & (equal >= least)
     )
     return a.join(b, rules).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
