@@ -106,13 +106,22 @@ def training_rows(docs: DataFrame, labels: DataFrame, usable: Column, most: int,
     return y, offsets - offsets[0], lists.flatten().to_numpy(), pairs
 
 
+def _parts(offsets: np.ndarray, features: np.ndarray, size: int = 512) -> Iterator[tuple]:
+    """(first text, end, text of each feature from the first, features) of some texts at a time."""
+    for a in range(0, len(offsets) - 1, size):
+        b = min(a + size, len(offsets) - 1)
+        yield a, b, np.repeat(np.arange(b - a), np.diff(offsets[a : b + 1])), features[offsets[a] : offsets[b]]
+
+
 def telling(y: np.ndarray, offsets: np.ndarray, features: np.ndarray, most: int, least_z: float) -> np.ndarray:
     """The features whose share of texts differs most between the classes (z of two proportions)."""
-    rows = np.repeat(np.arange(len(y)), np.diff(offsets))
-    once = np.unique(rows * np.int64(WIDTH) + features)
-    f, toxic = once % WIDTH, y[once // WIDTH]
     n1, n0 = max(y.sum(), 1), max((1 - y).sum(), 1)
-    k1, k0 = np.bincount(f, toxic, WIDTH), np.bincount(f, 1 - toxic, WIDTH)
+    k1, k0 = np.zeros(WIDTH), np.zeros(WIDTH)
+    for a, b, rows, f in _parts(offsets, features):
+        once = np.unique(rows * np.int64(WIDTH) + f)  # a text counts once, however often it has the feature
+        f, toxic = once % WIDTH, y[a:b][once // WIDTH]
+        k1 += np.bincount(f, toxic, WIDTH)
+        k0 += np.bincount(f, 1 - toxic, WIDTH)
     p = (k1 + k0) / (n1 + n0)
     z = np.abs(k1 / n1 - k0 / n0) / np.sqrt(np.maximum(p * (1 - p) * (1 / n1 + 1 / n0), 1e-12))
     best = np.lexsort((np.arange(WIDTH), -z))[:most]
@@ -174,9 +183,12 @@ def fit(
     kept = np.unique(np.concatenate([telling(y, offsets, features, most_features, least_z), np.array(sorted(named), np.int64)]))
     place = np.full(WIDTH, -1)
     place[kept] = np.arange(len(kept))
-    at = place[features]
-    rows = np.repeat(np.arange(n), np.diff(offsets))[at >= 0]
-    at = at[at >= 0]
+    rows_of, places = [], []
+    for a, _, r, f in _parts(offsets, features):
+        f = place[f]
+        rows_of.append((a + r[f >= 0]).astype(np.int32))
+        places.append(f[f >= 0].astype(np.int32))
+    rows, at = np.concatenate(rows_of), np.concatenate(places)
     left, right, count = [], [], []
     for a, b, c in pairs:
         change = np.zeros(len(kept))
