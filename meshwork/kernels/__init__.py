@@ -1 +1 @@
-"""Kernels of the network engine."""
+"""Numerical kernels on p x p matrices: numpy alone, no Spark."""
