@@ -28,6 +28,9 @@ STATISTICS = ("edge", "strength", "closeness", "betweenness", "expectedInfluence
 #: Values (rows x variables) that may be broadcast to executors: 64 MB of doubles.
 MOST_CELLS = 8_000_000
 
+#: Replicates that are fitted in one go.
+TOGETHER = 64
+
 STATISTIC_ROWS = "boot_id long, is_original boolean, statistic string, node1 string, node2 string, value double"
 CORRELATION_ROWS = "proportion double, statistic string, boot_id long, correlation double"
 
@@ -43,11 +46,14 @@ def statistics_of(net: Network, statistics: tuple[str, ...]) -> list[tuple]:
     return out
 
 
-def pandas_network(table: np.ndarray, labels: tuple[str, ...], method: str, kwargs: dict) -> Network:
-    """A replicate's network, from its rows in memory."""
-    frame = pd.DataFrame(table)
-    cor = frame.corr(method=kwargs.get("cor_method", "pearson")).to_numpy() if kwargs.get("cor_method") != "spearman" else frame.rank().corr().to_numpy()
-    return get_estimator(method).from_matrix(cor, len(table), labels, **kwargs)
+def replicate_networks(tables: list[np.ndarray], labels: tuple[str, ...], method: str, kwargs: dict) -> list[Network | None]:
+    """The networks of some replicates' rows, of the same number; None where one can't be fitted."""
+    estimator = get_estimator(method)
+    if not isinstance(estimator, MatrixEstimator):
+        raise TypeError(f"estimators of replicates must be MatrixEstimators; {method!r} is not")
+    frames = [pd.DataFrame(t) for t in tables]
+    cors = np.stack([(f.rank() if kwargs.get("cor_method") == "spearman" else f).corr().to_numpy() for f in frames])
+    return estimator.from_matrices(cors, len(tables[0]), labels, **kwargs)
 
 
 def ordered_matrix(data: DataFrame, names: list[str]) -> np.ndarray:
@@ -63,19 +69,24 @@ def proportions(n: int, case_min: float, case_max: float, case_n: int) -> list[f
     return [k / n for k in sorted(sizes, reverse=True)]
 
 
-def run_tasks(tasks: list[tuple], columns: str, task, rows: str) -> DataFrame:
-    """Every task on an executor: task(row) gives rows; few small tasks per partition."""
+def run_tasks(tasks: list[tuple], columns: str, task, rows: str, together: int = 1) -> DataFrame:
+    """Every task on an executor: task(row) gives rows; few small tasks per partition.
+
+    together: up to so many tasks go to one call, as a list."""
     spark = active()
-    kinds = rows
     names = [c.strip().split(" ")[0] for c in rows.split(",")]
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            found = [r for t in frame.itertuples(index=False) for r in task(t)]
+            here = list(frame.itertuples(index=False))
+            if together > 1:
+                found = [r for k in range(0, len(here), together) for r in task(here[k : k + together])]
+            else:
+                found = [r for t in here for r in task(t)]
             yield pd.DataFrame(found, columns=names)
 
     parts = max(1, min(len(tasks), 4 * spark.sparkContext.defaultParallelism))
-    return spark.createDataFrame(tasks, columns).repartition(parts).mapInPandas(work, kinds)
+    return spark.createDataFrame(tasks, columns).repartition(parts).mapInPandas(work, rows)
 
 
 @dataclass
@@ -192,36 +203,35 @@ def bootnet(
     if boot_type == "nonparametric":
         seeds = rng.integers(0, 2**31, n_boots)
 
-        def replicate(task):
+        def replicate(tasks):
             x = shared.value
-            rows = np.random.default_rng(task.seed).choice(len(x), len(x), replace=True)
-            try:
-                net = pandas_network(x[rows], labels, method, est_kwargs)
-            except Exception:  # a replicate that can't be fitted is left out; n_effective tells
-                return []
-            return [(task.boot_id, False, *r) for r in statistics_of(net, statistics)]
+            tables = [x[np.random.default_rng(t.seed).choice(len(x), len(x), replace=True)] for t in tasks]
+            nets = replicate_networks(tables, labels, method, est_kwargs)
+            return [(t.boot_id, False, *r) for t, net in zip(tasks, nets, strict=True) if net is not None for r in statistics_of(net, statistics)]
 
         tasks = [(k, int(s)) for k, s in enumerate(seeds)]
-        found = run_tasks(tasks, "boot_id long, seed long", replicate, STATISTIC_ROWS)
+        found = run_tasks(tasks, "boot_id long, seed long", replicate, STATISTIC_ROWS, TOGETHER)
         return BootstrapResult(original, boot_type, n_boots, first.unionByName(_kept(found)))
 
     shares = proportions(n, case_min, case_max, case_n)
     seeds = rng.integers(0, 2**31, n_boots * len(shares))
     wanted = {s: np.array([r[3] for r in statistics_of(original, (s,))]) for s in statistics}
 
-    def drop(task):
+    def drop(tasks):
         x = shared.value
-        size = max(3, int(len(x) * task.proportion))
-        rows = np.random.default_rng(task.seed).choice(len(x), size, replace=False)
-        try:
-            net = pandas_network(x[rows], labels, method, est_kwargs)
-            out = {s: np.array([r[3] for r in statistics_of(net, (s,))]) for s in statistics}
-        except Exception:
-            return [(task.proportion, s, task.boot_id, None) for s in statistics]
-        return [(task.proportion, s, task.boot_id, _pearson(wanted[s], out[s])) for s in statistics]
+        out = []
+        for share in dict.fromkeys(t.proportion for t in tasks):
+            same = [t for t in tasks if t.proportion == share]
+            size = max(3, int(len(x) * share))
+            tables = [x[np.random.default_rng(t.seed).choice(len(x), size, replace=False)] for t in same]
+            for t, net in zip(same, replicate_networks(tables, labels, method, est_kwargs), strict=True):
+                for s in statistics:
+                    r = None if net is None else _pearson(wanted[s], np.array([v[3] for v in statistics_of(net, (s,))]))
+                    out.append((share, s, t.boot_id, r))
+        return out
 
     tasks = [(p, b, int(seeds[k * n_boots + b])) for k, p in enumerate(shares) for b in range(n_boots)]
-    found = run_tasks(tasks, "proportion double, boot_id long, seed long", drop, CORRELATION_ROWS)
+    found = run_tasks(tasks, "proportion double, boot_id long, seed long", drop, CORRELATION_ROWS, TOGETHER)
     return BootstrapResult(original, boot_type, n_boots, first, _kept(found))
 
 

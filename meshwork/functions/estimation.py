@@ -65,6 +65,16 @@ class MatrixEstimator:
     def from_matrix(self, cor: np.ndarray, n: int, labels: tuple[str, ...], **kwargs: Any) -> Network:
         raise NotImplementedError
 
+    def from_matrices(self, cors: np.ndarray, n: int, labels: tuple[str, ...], **kwargs: Any) -> list[Network | None]:
+        """Networks of a stack of matrices; None where one can't be fitted."""
+        out: list[Network | None] = []
+        for cor in cors:
+            try:
+                out.append(self.from_matrix(cor, n, labels, **kwargs))
+            except (np.linalg.LinAlgError, FloatingPointError, RuntimeError, ValueError):
+                out.append(None)
+        return out
+
 
 @register("cor")
 class Correlation(MatrixEstimator):
@@ -93,3 +103,10 @@ class EBICglasso(MatrixEstimator):
         used = {"gamma": gamma, "n_lambda": n_lambda, "lambda_min_ratio": lambda_min_ratio, "cor_method": cor_method, "threshold": threshold, **kwargs}
         info = EstimationInfo("EBICglasso", used, cor, fit.penalty, fit.ebic, tuple(fit.curve))
         return Network(fit.network, labels, "EBICglasso", n, estimation_info=info)
+
+    def from_matrices(self, cors, n, labels, *, cor_method="pearson", gamma=0.5, n_lambda=100, lambda_min_ratio=0.01, threshold=1e-4, n_jobs=1, **kwargs):
+        try:
+            found = kernel.ebic_paths(cors, n, gamma=gamma, n_lambda=n_lambda, lambda_min_ratio=lambda_min_ratio, threshold=threshold)
+        except (np.linalg.LinAlgError, FloatingPointError):  # one of them: then each by itself
+            return super().from_matrices(cors, n, labels, gamma=gamma, n_lambda=n_lambda, lambda_min_ratio=lambda_min_ratio, threshold=threshold)
+        return [None if x is None else Network(x, labels, "EBICglasso", n) for x in found]

@@ -44,6 +44,16 @@ def test_path_selects_the_smallest_ebic_warm_or_cold():
         sp.ebic_path(np.eye(4), 50)
 
 
+def test_stacked_paths_are_the_single_paths():
+    cors = np.stack([correlation(6, 150, k) for k in range(12)] + [np.eye(6), np.full((6, 6), np.nan)])
+    found = sp.ebic_paths(cors, 150, n_lambda=30)
+    assert found[-1] is None and found[-2] is None
+    for c, x in zip(cors[:-2], found[:-2], strict=True):
+        one = sp.ebic_path(c, 150, n_lambda=30)
+        assert np.allclose(one.network, x, atol=2e-3)
+        assert ((one.network != 0) == (x != 0)).all()
+
+
 @pytest.mark.parametrize("penalty", ["group", "fused"])
 def test_joint_lasso(penalty):
     cov = [correlation(5, 200, k) for k in (3, 4)]
