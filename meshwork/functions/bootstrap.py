@@ -122,7 +122,7 @@ class BootstrapResult:
 
         return plot_edge_accuracy(self, **kwargs)
 
-    def plot_stability(self, **kwargs):
+    def plot_centrality_stability(self, **kwargs):
         from ..plotting import plot_centrality_stability
 
         return plot_centrality_stability(self, **kwargs)

@@ -98,6 +98,15 @@ class Network:
 
         return plot_community(self, method=method, **kwargs)
 
+    def to_networkx(self):
+        """A networkx graph of the edges (needs networkx)."""
+        import networkx as nx
+
+        graph = nx.DiGraph() if self.directed else nx.Graph()
+        graph.add_nodes_from(self.labels)
+        graph.add_weighted_edges_from(self._edge_rows())
+        return graph
+
 
 def _tagged(networks: dict[str, Network], tag: str, table) -> DataFrame:
     out = None
@@ -131,6 +140,11 @@ class GroupNetwork:
     def centrality(self) -> DataFrame:
         return _tagged(self.networks, "group", lambda n: n.centrality())
 
+    def plot(self, **kwargs):
+        from .plotting import plot_group_networks
+
+        return plot_group_networks(self, **kwargs)
+
     def compare_edges(self) -> DataFrame:
         return _tagged(self.networks, "group", lambda n: n.edges_df).select("group", "node1", "node2", "weight")
 
@@ -149,6 +163,11 @@ class TSNetwork:
     def centrality(self) -> DataFrame:
         return _tagged({"temporal": self.temporal, "contemporaneous": self.contemporaneous}, "network", lambda n: n.centrality())
 
+    def plot(self, **kwargs):
+        from .plotting import plot_ts_networks
+
+        return plot_ts_networks(self, **kwargs)
+
 
 @dataclass(frozen=True)
 class MultilevelNetwork:
@@ -174,12 +193,17 @@ class MultilevelNetwork:
         parts = {"temporal": self.temporal, "contemporaneous": self.contemporaneous, "between_subjects": self.between_subjects}
         return _tagged(parts, "network", lambda n: n.centrality())
 
+    def plot(self, **kwargs):
+        from .plotting import plot_multilevel_networks
+
+        return plot_multilevel_networks(self, **kwargs)
+
     def temporal_thresholded(self, alpha: float = 0.05) -> Network:
         """The temporal network with effects of p > alpha at zero."""
         base = self.temporal.adjacency if self.unthresholded_temporal is None else self.unthresholded_temporal
         return replace(self.temporal, adjacency=np.where(self.pvalues > alpha, 0.0, base))
 
-    def subject_network(self, subject) -> Network:
-        if subject not in self.subject_temporal:
-            raise KeyError(f"subject {subject!r} not found")
-        return self.subject_temporal[subject]
+    def subject_network(self, subject_id) -> Network:
+        if subject_id not in self.subject_temporal:
+            raise KeyError(f"subject {subject_id!r} not found")
+        return self.subject_temporal[subject_id]

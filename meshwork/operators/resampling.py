@@ -57,3 +57,16 @@ def difference_test(statistics: DataFrame, statistic: str, alpha: float = 0.05)
     share = pairs.groupBy("item1", "item2").agg(F.avg((F.col("v1") > F.col("v2")).cast("double")).alias("s"))
     p = 2 * F.least(F.col("s"), 1 - F.col("s"))
     return share.select("item1", "item2", p.alias("p"), (p < alpha).alias("significant"))
+
+
+def replicate_matrix(statistics: DataFrame, statistic: str) -> DataFrame:
+    """boot_id, and a column of values for each item of one statistic."""
+    name = F.concat_ws(" -- ", "node1", "node2") if statistic == "edge" else F.col("node1")
+    rows = statistics.where((F.col("statistic") == statistic) & ~F.col("is_original"))
+    return rows.withColumn("item", name).groupBy("boot_id").pivot("item").agg(F.avg("value"))
+
+
+def difference_matrix(pairs: DataFrame, value: str = "p") -> DataFrame:
+    """item, and a column for each item: a difference test as a square."""
+    both = pairs.select("item1", "item2", value).unionByName(pairs.select(F.col("item2").alias("item1"), F.col("item1").alias("item2"), value))
+    return both.groupBy(F.col("item1").alias("item")).pivot("item2").agg(F.first(value))

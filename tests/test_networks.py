@@ -141,6 +141,12 @@ def test_bootstrap(spark):
     pairs = first.difference_test("strength").toPandas()
     wide = a[(a.statistic == "strength") & (a.boot_id != "original")].pivot(index="boot_id", columns="node1", values="value")
     share = (wide["C1"] > wide["C2"]).mean()
+    from meshwork.operators import resampling
+
+    square = resampling.difference_matrix(first.difference_test("strength")).toPandas().set_index("item")
+    assert np.isclose(square.loc["C2", "C1"], 2 * min(share, 1 - share))
+    replicates = resampling.replicate_matrix(first.statistics, "strength").toPandas()
+    assert sorted(replicates["C1"]) == pytest.approx(sorted(wide["C1"]))
     assert np.isclose(pairs[(pairs.item1 == "C1") & (pairs.item2 == "C2")]["p"].iloc[0], 2 * min(share, 1 - share))
 
 
@@ -256,7 +262,7 @@ def test_communities_and_plots(spark):
     nodes, edges = plotting.network_data(n)
     assert len(nodes) == 5 and len(edges) == 4 and max(e["share"] for e in edges) == 1
     for kind in ("spring", "circular", "kamada_kawai"):
-        assert np.isfinite(plotting.layout(n, kind)).all()
+        assert np.isfinite(plotting.positions(n, kind)).all()
     with pytest.raises(ValueError, match="Unknown theme"):
         plotting.set_theme("pink")
     plotting.set_theme("dark")
