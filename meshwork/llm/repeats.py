@@ -33,7 +33,7 @@ from .bwt import prefix_intervals
 from .shared import attach, discard, keyed, materialize, read_table, slices, spread, utf8
 
 BLOCK = 16
-TASK_BYTES = 6 << 20
+TASK_BYTES = 2 << 20
 SEGMENT = ["anchor", "content", "n", "ahead"]
 
 
