@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import attach, discard, materialize
+from .shared import attach, discard, materialize, settle
 
 
 def _star(edges: DataFrame) -> DataFrame:
@@ -20,10 +20,10 @@ def components(links: DataFrame) -> DataFrame:
 
     Every round hangs each node's larger neighbours, then all its smaller ones, on the smallest
     node it sees; rounds grow with the logarithm of the longest path. A hub's edges are spread over
-    tasks. Rounds end when one changes nothing.
+    tasks. Rounds end when the edges are stars: every node has one edge up, to a node that has none.
     """
     edges = links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    edges, state = materialize(edges, "edges"), None
+    edges = materialize(edges, "edges")
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = materialize(_star(both).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
@@ -31,9 +31,10 @@ def components(links: DataFrame) -> DataFrame:
         small = _star(large).select(F.explode(F.array_distinct(F.array(F.col("u"), pairs))).alias("u"), F.col("m").alias("v"))
         small = materialize(small.where(F.col("u") != F.col("v")).distinct(), "small")
         discard(edges, large)
-        edges, before = small, state
-        state = tuple(small.agg(F.count(F.lit(1)), F.sum(F.shiftright(F.xxhash64("u", "v"), 24))).first())
-        if state == before or state[0] == 0:
+        settle(links.sparkSession)
+        edges = small
+        one = edges.groupBy("u").agg(F.count(F.lit(1)).alias("up")).where(F.col("up") > 1)
+        if one.isEmpty() and edges.join(edges.select(F.col("u").alias("v")).distinct(), "v", "left_semi").isEmpty():
             break
     ends = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

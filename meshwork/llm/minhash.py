@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import attach, discard, keyed, materialize, read_table, slices, spread, utf8
+from .shared import attach, discard, keyed, materialize, read_table, settle, slices, spread, utf8
 
 BAND, BANDS = 5, 28
 REGISTERS = BAND * BANDS
@@ -209,7 +209,7 @@ def near_duplicates(
     *,
     words: int = 5,
     percent: int = 80,
-    rounds: int = 3,
+    rounds: int = 2,
     id_col: str = "doc_id",
     text_col: str = "text",
     carry_key: bool = False,
@@ -284,6 +284,7 @@ def near_duplicates(
             pairs = far.select(F.col("centre.a").alias("a"), F.col("node").alias("b")).distinct()
         else:
             pairs = _across(placed, nodes, sets, percent)
+        settle(docs.sparkSession)
         new = materialize(verified(pairs), f"links{k}")
         if labels is None:
             labels = components(new)
@@ -298,6 +299,7 @@ def near_duplicates(
                 "node", F.coalesce("into", "component").alias("component")
             )
         labels = materialize(labels, f"labels{k}")
+        settle(docs.sparkSession)
     discard(sets, buckets)
 
     classes = nodes.select(*same, "copies", "least_id", "node").join(labels, "node", "left")

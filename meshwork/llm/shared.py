@@ -3,6 +3,7 @@ survive hot keys, and zero-copy access to texts in Arrow batches."""
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -48,6 +49,15 @@ def discard(*frames: DataFrame | None) -> None:
             target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def settle(spark: SparkSession) -> None:
+    """Let go of plans that are done with. An operator of many jobs calls it between its rounds: the
+    driver's memory stays what one round needs, and Spark deletes the shuffle files of the rounds
+    before, which it does only once the driver has collected their plans."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    spark.sparkContext._jvm.System.gc()
+
+
 def read_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

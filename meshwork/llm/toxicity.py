@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import read_table, slices
+from .shared import read_table, settle, slices
 
 WORD = re.compile(r"\w+")
 SENTENCE = re.compile(r"[^.!?\n]+")
@@ -266,6 +266,8 @@ def toxicity(
     """
     sample = training_rows(docs, labels.select("doc_id", "toxic"), usable, most_rows, identity_terms)
     weights = fit(*sample, counterfactual=counterfactual)
+    del sample
+    settle(docs.sparkSession)
     return score(docs, weights, carried, keep_text)
 
 
