@@ -104,6 +104,19 @@ def test_added_secrets_and_allow_list(spark):
     assert got == {0: [("entropy", 4, 44)], 1: [("entropy", 3, 43)], 2: [], 3: [], 4: [], 5: [], 6: []}
 
 
+def test_random_keys_of_every_alphabet_are_found_and_words_are_not(spark):
+    rng = random.Random(5)
+    lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    alphabets = [lower + digits, lower.upper() + "234567", lower + lower.upper(), lower, digits, lower + digits + "-_"]
+    keys = [noise(rng, a, 40) for a in alphabets for _ in range(50)]
+    words = ["internationalization/configuration", "state-of-the-art-solutions", "docs/2024/report-final-v2/index", "MAX_CONNECTION_TIMEOUT_SECONDS", "anticonstitutionnellement", "rechtsschutzversicherungsgesellschaft", "4111-1111-2222-3333-4444", "01" * 30]
+    rows = [(i, f"at {t} end") for i, t in enumerate(keys + words)]
+    got = {r.doc_id: [(x.kind, x.start, x.end) for x in r.added] for r in find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for j in range(len(alphabets)):
+        assert sum(got[i] == [("entropy", 3, 43)] for i in range(j * 50, j * 50 + 50)) >= 48
+    assert all(not got[len(keys) + i] for i in range(len(words)))
+
+
 def test_added_pii_and_context(spark):
     texts = ["IBAN DE89 3704 0044 0532 0130 00.", "XX DE88 3704 0044 0532 0130 00", "my SSN is 123-45-6789", "part 123-45-6789", "card: 4111111111111111", "number 4111111111111111"]
     rows = find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
