@@ -16,7 +16,7 @@ from meshwork.llm.decontamination import contamination
 from meshwork.llm.exact_dedup import exact_dedup
 from meshwork.llm.minhash import near_duplicates
 from meshwork.llm.packing import pack_documents
-from meshwork.llm.shared import is_scan, materialize, read_table
+from meshwork.llm.shared import materialize, numbered_files, read_table, with_key
 from meshwork.llm.toxicity import fold, toxicity
 
 #: Documents whose score is at least this are rejected.
@@ -25,20 +25,19 @@ TOXIC = 0.3
 LEARNT_FOLDS = (0, 1, 3)
 
 
-#: The number of a row in a scan of its table, as the operators count; no column of documents.
+#: The place of a row in the files of its table, as the operators count; no column of documents.
 KEY = "_row_key_of_scan"
 
 
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """The rows of docs whose row_key is not in dropped."""
     keys = dropped.select(F.col("row_key").alias(KEY))
-    rows = docs.withColumn(KEY, F.monotonically_increasing_id())
-    return rows.join(keys, KEY, "left_anti").drop(KEY)
+    return with_key(docs, KEY).join(keys, KEY, "left_anti").drop(KEY)
 
 
 def _scanned(docs: DataFrame) -> DataFrame:
     """docs as a table of files, in which a row has the same number each time it is read."""
-    return docs if is_scan(docs) else materialize(docs, "docs")
+    return materialize(docs, "docs") if numbered_files(docs) is None else docs
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

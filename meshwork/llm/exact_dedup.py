@@ -18,7 +18,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import attach, materialize, read_table
+from .shared import attach, keyed, materialize, read_table
 
 DIGEST = ["digest", "n_bytes", "check"]
 
@@ -26,8 +26,8 @@ DIGEST = ["digest", "n_bytes", "check"]
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """row_key, doc_id, digest, n_bytes, check of every row, written to scratch: texts are read once."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).select(
-        F.monotonically_increasing_id().alias("row_key"),
+    rows = keyed(docs, F.col(id_col).alias("doc_id"), text.alias("text")).select(
+        "row_key",
         "doc_id",
         F.unhex(F.sha2(F.encode("text", "UTF-8"), 256)).alias("digest"),
         F.octet_length("text").cast("long").alias("n_bytes"),

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,12 +66,51 @@ def read_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def keyed(df: DataFrame, *columns: Column) -> DataFrame:
     """`row_key` and the given columns; row_key is unique to a row, whatever the row holds.
 
-    On a plain file scan the key is the place of the row in the scan, the same in every plan over
-    the same files, so that one plan may aggregate narrow columns and another come back for the
-    text. Anything else (a shuffle below, a join) is written to scratch first.
+    On a plain scan of Parquet files the key is the place of the row in its file, the same in every
+    plan over the same files, so that one plan may aggregate narrow columns and another come back
+    for the text. Anything else (a shuffle below, a join) is written to scratch first.
     """
-    out = df.select(*columns) if is_scan(df) else materialize(df.select(*columns), "keyed")
-    return out.select(F.monotonically_increasing_id().alias("row_key"), *out.columns)
+    files = numbered_files(df)
+    if files is None:
+        df = materialize(df.select(*columns), "keyed")
+        files, columns = numbered_files(df), tuple(F.col(f"`{c}`") for c in df.columns)
+    return _numbered(df, files, "row_key", columns)
+
+
+def with_key(df: DataFrame, name: str) -> DataFrame:
+    """df, a plain scan, and the row_key of keyed() under a name that no column has."""
+    return _numbered(df, numbered_files(df), name, tuple(F.col(f"`{c}`") for c in df.columns))
+
+
+#: Rows of a file that a key can count; the number of the file is in the bits above.
+ROW_BITS = 40
+
+
+def numbered_files(df: DataFrame) -> DataFrame | None:
+    """_path, _file: the numbers of the files of df in the order of their paths; None if the rows of
+    df have no fixed place, as it isn't a plain scan of Parquet files, each listed once."""
+    if not is_scan(df):
+        return None
+    place = df.metadataColumn("_metadata")
+    try:
+        seen = df.select(place["file_path"].alias("_path"), place["row_index"].alias("_row"))
+        found = seen.groupBy("_path").agg(F.count(F.lit(1)).alias("rows"), F.max("_row").alias("last")).collect()
+    except AnalysisException:
+        return None
+    if any(r.rows != r.last + 1 for r in found):
+        return None
+    numbers = [(r, i) for i, r in enumerate(sorted(r["_path"] for r in found))]
+    return F.broadcast(df.sparkSession.createDataFrame(numbers, "_path string, _file long"))
+
+
+def _numbered(df: DataFrame, files: DataFrame, name: str, columns: tuple[Column, ...]) -> DataFrame:
+    """The columns of a scan with a key that doesn't depend on how the files are split into tasks."""
+    place = df.metadataColumn("_metadata")
+    rows = df.select(place["file_path"].alias("_path"), place["row_index"].alias("_row"), *columns)
+    kept = rows.columns[2:]
+    rows = rows.join(files, "_path")
+    key = F.shiftleft("_file", ROW_BITS).bitwiseOR(F.col("_row"))
+    return rows.select(key.alias(name), *(F.col(f"`{c}`") for c in kept))
 
 
 def is_scan(df: DataFrame) -> bool:

@@ -1,7 +1,7 @@
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from meshwork.llm.shared import attach, discard, is_scan, keyed, materialize, scratch_root, slices, utf8
+from meshwork.llm.shared import attach, discard, is_scan, keyed, materialize, scratch_root, slices, utf8, with_key
 
 
 def test_attach_gives_a_left_join_of_hot_and_cold_keys(spark):
@@ -20,6 +20,31 @@ def test_row_keys_are_the_same_in_every_plan(spark):
     assert a == b and len({k for k, _ in a}) == len(a)
 
 
+def test_row_keys_do_not_follow_the_number_of_cores(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    docs.repartition(3).write.option("parquet.block.size", 1 << 20).parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+
+    def keys(live_cores):
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", live_cores)
+        return docs.sparkSession.read.parquet(str(tmp_path / "d")).rdd.getNumPartitions(), dict(keyed(docs, F.col("doc_id")).select("doc_id", "row_key").collect())
+
+    try:
+        (tasks, six), (fewer, two) = keys(6), keys(2)
+        carried = dict(with_key(docs, "k").select("doc_id", "k").collect())
+    finally:
+        spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+    assert tasks != fewer
+    assert six == two == carried and len(set(six.values())) == len(six)
+
+
+def test_row_keys_of_files_listed_twice(spark, tmp_path):
+    spark.range(100).write.parquet(str(tmp_path / "d"))
+    twice = spark.read.parquet(str(tmp_path / "d"), str(tmp_path / "d"))
+    got = keyed(twice, F.col("id")).collect()
+    assert len(got) == twice.count() == len({r.row_key for r in got})
+
+
 def test_materialize_and_discard(spark):
     kept = materialize(spark.range(10), "numbers")
     assert kept.count() == 10
