@@ -14,8 +14,7 @@ from pyspark.sql import functions as F
 from .shared import read_table
 from .spans import SPAN, Kind, digits, joined, spans
 
-#: Characters before a span in which context words count.
-NEAR = 48
+#: Words that count within NEAR characters of a span, before it or after it.
 CONTEXT = {
     "email": "mail|contact|write",
     "ip": "\\bip\\b|host|server|address|login",
@@ -28,6 +27,15 @@ CONTEXT = {
 BASE_SCORE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "national_id": 0.3}
 BONUS = 0.3
 
+#: Characters of an IBAN by country, so that words after one aren't taken into it.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR",
+    27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_KNOWN = "|".join(c for countries in IBAN_LENGTHS.values() for c in countries.split())
+_SIZED = "|".join(rf"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, countries in IBAN_LENGTHS.items())
+
 
 def luhn(number: Column) -> Column:
     """Whether a string of digits passes the Luhn check."""
@@ -69,9 +77,9 @@ def _length(n: Column, low: int, high: int) -> Column:
 
 
 def _score(kind: str):
-    def score(match: Column, before: Column) -> Column:
-        near = F.lower(F.right(before, F.lit(NEAR))).rlike(CONTEXT[kind])
-        return F.least(F.lit(1.0), F.lit(BASE_SCORE[kind]) + F.when(near, F.lit(BONUS)).otherwise(F.lit(0.0)))
+    def score(match: Column, near: Column) -> Column:
+        named = F.lower(near).rlike(CONTEXT[kind])
+        return F.least(F.lit(1.0), F.lit(BASE_SCORE[kind]) + F.when(named, F.lit(BONUS)).otherwise(F.lit(0.0)))
 
     return score
 
@@ -92,7 +100,7 @@ KINDS = [
 ADDED = [
     Kind(
         "iban",
-        r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
+        rf"(?<![A-Za-z0-9])(?:{_SIZED}|(?!{_KNOWN})[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{11,30}})(?![A-Za-z0-9])",
         lambda m, b: mod97(F.regexp_replace(m, " ", "")),
         _score("iban"),
     ),

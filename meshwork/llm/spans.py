@@ -20,21 +20,24 @@ SPAN = "struct<kind:string,rank:int,start:int,end:int,score:double>"
 
 #: Matches whose places are summed in one go.
 BLOCK = 256
+#: Characters before and after a span in which context counts, and those of a piece of text.
+NEAR = 48
+PIECE = 64
 
 
 @dataclass(frozen=True)
 class Kind:
     """A kind of span.
 
-    check(match, before): whether a match counts; before is the text between it and the match
-    before it of this kind. score(match, before): its score, 0 to 1. hint: text that every match
-    contains, to skip the others cheaply.
+    check(match, near): whether a match counts; near is the NEAR characters of the text before it
+    and after it, whatever else matches there. score(match, near): its score, 0 to 1. hint: text
+    that every match contains, to skip the others cheaply.
     """
 
     name: str
     pattern: str
     check: Callable[[Column, Column], Column]
-    score: Callable[[Column, Column], Column] = lambda match, before: F.lit(1.0)
+    score: Callable[[Column, Column], Column] = lambda match, near: F.lit(1.0)
     hint: str = ""
 
 
@@ -44,25 +47,43 @@ def spans(text: Column, kind: Kind, rank: int) -> Column:
     gaps = F.split(text, kind.pattern, -1)
     pairs = F.filter(F.arrays_zip(gaps.alias("gap"), matches.alias("match")), lambda p: p["match"].isNotNull())
     placed = _placed(pairs)
-    kept = F.filter(placed, lambda x: kind.check(x["m"], x["b"]))
-    named = F.transform(
-        kept,
-        lambda x: F.struct(
-            F.lit(kind.name).alias("kind"), F.lit(rank).alias("rank"), x["s"].alias("start"), x["e"].alias("end"), kind.score(x["m"], x["b"]).alias("score")
-        ),
-    ).cast(f"array<{SPAN}>")
+
+    def name(pieces: Column) -> Column:
+        kept = F.filter(placed, lambda x: kind.check(x["m"], _near(pieces, x["s"], x["e"])))
+        return F.transform(
+            kept,
+            lambda x: F.struct(
+                F.lit(kind.name).alias("kind"),
+                F.lit(rank).alias("rank"),
+                x["s"].alias("start"),
+                x["e"].alias("end"),
+                kind.score(x["m"], _near(pieces, x["s"], x["e"])).alias("score"),
+            ),
+        ).cast(f"array<{SPAN}>")
+
+    # a variable of a lambda, so that a text is cut into pieces once
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}+"), F.lit(0))
+    named = F.flatten(F.transform(F.array(pieces), name))
     some = F.contains(text, F.lit(kind.hint)) if kind.hint else text.rlike(kind.pattern)
     some = some & (F.size(matches) > 0)
     return F.when(some, named).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
+def _near(pieces: Column, start: Column, end: Column) -> Column:
+    """The NEAR characters before start and those after end, by way of the pieces they lie in: a
+    substring of all of a long text would be counted from its first character for each match."""
+    first = F.greatest(start - NEAR, F.lit(0))
+    held = lambda at: F.array_join(F.slice(pieces, F.floor(at / PIECE).cast("int") + 1, F.lit(2)), "")
+    return F.concat(F.substring(held(first), first % PIECE + 1, start - first), F.lit("\n"), F.substring(held(end), end % PIECE + 1, F.lit(NEAR)))
+
+
 def _placed(pairs: Column) -> Column:
-    """(m, b, s, e) of each (gap, match): the match, the gap before it, its start and end.
+    """(m, s, e) of each (gap, match): the match, its start and end.
 
     Running sums go by blocks of BLOCK: an array that grows by one is copied each time, so one
     pass over all of a text with very many matches would cost their square.
     """
-    out = "array<struct<m:string,b:string,s:int,e:int>>"
+    out = "array<struct<m:string,s:int,e:int>>"
     count = F.ceil(F.size(pairs) / F.lit(BLOCK)).cast("int")
     blocks = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.slice(pairs, i * BLOCK + 1, F.lit(BLOCK)))
     width = lambda p: F.char_length(p["gap"]) + F.char_length(p["match"])
@@ -72,7 +93,7 @@ def _placed(pairs: Column) -> Column:
     def step(acc: Column, pair: Column) -> Column:
         at = (acc["at"] + F.char_length(pair["gap"])).cast("int")
         end = (at + F.char_length(pair["match"])).cast("int")
-        one = F.struct(pair["match"].alias("m"), pair["gap"].alias("b"), at.alias("s"), end.alias("e"))
+        one = F.struct(pair["match"].alias("m"), at.alias("s"), end.alias("e"))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one).cast(out)).alias("out"))
 
     def block(x: Column) -> Column:

@@ -128,6 +128,16 @@ def test_added_pii_and_context(spark):
     assert got[4].base[0].score > got[5].base[0].score
 
 
+def test_context_on_both_sides_and_words_after_an_iban(spark):
+    iban = "DE89 3704 0044 0532 0130 00"
+    texts = ["SSN: 123-45-6789, 987-65-4321, 111-22-3333", "é🙂123-45-6789 (SSN)", "ssn" + " " * 46 + "123-45-6789", f"{iban} BIC COBADEFF", f"{iban} EUR 50", "x" * 500 + " 123-45-6789 ssn"]
+    got = {r.doc_id: r for r in find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    added = {i: [(x.kind, x.start, x.end) for x in r.added] for i, r in got.items()}
+    assert added[0] == [("national_id", 5, 16), ("national_id", 18, 29), ("national_id", 31, 42)]
+    assert added[1] == [("national_id", 2, 13)] and added[2] == [] and added[5] == [("national_id", 501, 512)]
+    assert added[3] == added[4] == [("iban", 0, 27)]
+
+
 @pytest.mark.parametrize("find", [find_secrets, find_pii])
 def test_odd_rows(spark, find):
     long = ["9" * 300_000, "a" * 300_000, "a." * 100_000 + "@", "1." * 100_000, "+1" + "(" * 100_000, "password" + " " * 100_000, "1 " * 100_000, "AKIA" * 50_000, "A1a" * 20_000]
