@@ -1,9 +1,8 @@
-"""Bootstraps of networks. Replicates are rows of a table of tasks that executors work off; each task
-sees the matrix of observations (broadcast, its size checked) and returns long rows.
+"""Bootstraps of networks. A replicate is a set of row weights (operators/draws.py); its correlations
+come from sums over blocks of rows, its network from a task that sees correlations alone. That holds
+for tables of any size: no task and not the driver holds the observations.
 
-Tables with more than MOST_CELLS values are not broadcast. Their replicates come from weighted
-moments instead: each row gets a Poisson weight for each replicate from a hash of its number, and
-one aggregation yields the correlations of all replicates.
+Estimators that need more than correlations are given the rows of each replicate as a DataFrame.
 """
 
 from __future__ import annotations
@@ -19,15 +18,14 @@ from pyspark.sql import functions as F
 
 from ..network import Network, active
 from ..operators import resampling
+from ..operators.draws import correlations_of, replicate_rows, replicate_sums, sums_of
+from ..operators.moments import correlations
 from ..sources.datasets import ROW
 from ..sources.observations import as_doubles, variables
 from .centrality import values
 from .estimation import MatrixEstimator, estimate_network, get_estimator
 
 STATISTICS = ("edge", "strength", "closeness", "betweenness", "expectedInfluence")
-#: Values (rows x variables) that may be broadcast to executors: 64 MB of doubles.
-MOST_CELLS = 8_000_000
-
 #: Replicates that are fitted in one go.
 TOGETHER = 64
 
@@ -46,27 +44,65 @@ def statistics_of(net: Network, statistics: tuple[str, ...]) -> list[tuple]:
     return out
 
 
-def replicate_networks(tables: list[np.ndarray], labels: tuple[str, ...], method: str, kwargs: dict) -> list[Network | None]:
-    """The networks of some replicates' rows, of the same number; None where one can't be fitted."""
+def proportions(n: int, case_min: float, case_max: float, case_n: int) -> list[float]:
+    """Shares of cases to keep, descending: whole numbers of cases between 3 and n, each once."""
+    sizes = {int(np.clip(int(n * p), 3, n)) for p in np.linspace(case_max, case_min, case_n)}
+    return [k / n for k in sorted(sizes, reverse=True)]
+
+
+def replicate_networks(data: DataFrame, tasks: list[tuple], method: str, kwargs: dict, use, rows: str) -> DataFrame:
+    """What use(task number, network or None) makes of each task's network: rows of the given kind.
+
+    A network that can't be fitted is None.
+    """
+    names, labels = variables(data), tuple(variables(data))
+    order = ROW if ROW in data.columns else None
+    table = as_doubles(data, names, *([order] if order else []))
+    columns = [c.strip().split(" ")[0] for c in rows.split(",")]
     estimator = get_estimator(method)
     if not isinstance(estimator, MatrixEstimator):
-        raise TypeError(f"estimators of replicates must be MatrixEstimators; {method!r} is not")
-    frames = [pd.DataFrame(t) for t in tables]
-    cors = np.stack([(f.rank() if kwargs.get("cor_method") == "spearman" else f).corr().to_numpy() for f in frames])
-    return estimator.from_matrices(cors, len(tables[0]), labels, **kwargs)
+        return _one_by_one(data.select(*([order] if order else []), *names), names, order, tasks, estimator, kwargs, use, rows)
+    if kwargs.get("cor_method") == "spearman":  # ranks are of the replicate's own rows
+        found = correlations(replicate_rows(table, names, order, tasks), names, method="spearman", by="task")
+        cors = found.groupBy("task").agg(F.collect_list(F.struct("i", "j", "r")).alias("cor"))
+        total = data.count()
+    else:
+        cors, sizes = replicate_sums(table, names, order, tasks)
+        total = sizes[None]
+    sizes = {t[0]: total if t[2] is None else t[2] for t in tasks}
+
+    def matrices_of(frame: pd.DataFrame) -> dict[int, np.ndarray]:
+        if "sums" in frame:
+            return {int(t): correlations_of(s, len(names)) for (t, _), s in sums_of(frame).items()}
+        out = {}
+        for t in frame.itertuples(index=False):
+            out[int(t.task)] = m = np.eye(len(names))
+            for x in t.cor:
+                m[x["i"], x["j"]] = m[x["j"], x["i"]] = np.nan if x["r"] is None else x["r"]
+        return out
 
+    def fit(key, frame):
+        here, out = matrices_of(frame), []
+        for size in sorted({sizes[t] for t in here}):  # a stack shares its number of rows
+            same = [t for t in here if sizes[t] == size]
+            nets = estimator.from_matrices(np.stack([here[t] for t in same]), size, labels, **kwargs)
+            out += [r for t, net in zip(same, nets, strict=True) for r in use(t, net)]
+        return pd.DataFrame(out, columns=columns)
 
-def ordered_matrix(data: DataFrame, names: list[str]) -> np.ndarray:
-    """The observations in the order of their row numbers; only called within MOST_CELLS."""
-    keep = [ROW] if ROW in data.columns else []
-    table = as_doubles(data, names, *keep).toPandas()
-    return (table.sort_values(ROW) if keep else table)[names].to_numpy(float)
+    return cors.groupBy(F.expr(f"task div {TOGETHER}")).applyInPandas(fit, rows)
 
 
-def proportions(n: int, case_min: float, case_max: float, case_n: int) -> list[float]:
-    """Shares of cases to keep, descending: whole numbers of cases between 3 and n, each once."""
-    sizes = {int(np.clip(int(n * p), 3, n)) for p in np.linspace(case_max, case_min, case_n)}
-    return [k / n for k in sorted(sizes, reverse=True)]
+def _one_by_one(data, names, order, tasks, estimator, kwargs, use, rows: str) -> DataFrame:
+    """Replicates of an estimator that takes a DataFrame: a Spark job, or several, for each."""
+    out = []
+    for task in tasks:
+        drawn = replicate_rows(data, names, order, [task]).drop("task")
+        try:
+            net = estimator.estimate(drawn, **kwargs)
+        except Exception:  # a replicate that can't be fitted is left out
+            net = None
+        out += use(task[0], net)
+    return active().createDataFrame(out, rows)
 
 
 def run_tasks(tasks: list[tuple], columns: str, task, rows: str, together: int = 1) -> DataFrame:
@@ -108,6 +144,12 @@ class BootstrapResult:
         """Replicates that could be fitted."""
         return self.statistics.where(~F.col("is_original")).select("boot_id").distinct().count()
 
+    def release(self) -> None:
+        """Let go of the replicates that Spark keeps; a later use computes them again."""
+        for table in (self.statistics, self.case_drop_correlations):
+            if table is not None:
+                table.unpersist()
+
     def summary(self, statistic: str = "edge") -> DataFrame:
         return resampling.summary(self.statistics, statistic)
 
@@ -174,7 +216,8 @@ def bootnet(
 ) -> BootstrapResult:
     """Replicates of a network: cases drawn with replacement, or a share of the cases kept.
 
-    n_cores and verbose are accepted and play no part: Spark deals the tasks out.
+    statistics: all five if not given; case dropping compares node statistics alone. A seed fixes the
+    draws, whatever the number of tasks. n_cores and verbose are accepted and play no part: Spark deals the tasks out.
     """
     if boot_type not in ("nonparametric", "case"):
         raise ValueError(f"'{boot_type}' is not a valid bootstrap type: nonparametric or case")
@@ -186,107 +229,39 @@ def bootnet(
                 warnings.warn(f"{k}={v!r} overrides network's estimation_info ({info.est_kwargs[k]!r})", UserWarning, stacklevel=2)
         est_kwargs = {**info.est_kwargs, **est_kwargs}
     method = method or "EBICglasso"
-    statistics = _checked(statistics or (["edge", "strength"] if boot_type == "nonparametric" else ["strength"]))
-    names = variables(data)
-    labels = tuple(names)
+    case = boot_type == "case"
+    statistics = _checked(statistics or STATISTICS)
+    if case:
+        statistics = tuple(s for s in statistics if s != "edge")
     original = network if network is not None else estimate_network(data, method=method, **est_kwargs)
     known = [(-1, True, *r) for r in statistics_of(original, statistics)]
     first = active().createDataFrame(known, STATISTIC_ROWS)
     rng = np.random.default_rng(seed)
-    n = data.count()
-    if n * len(names) > MOST_CELLS:
-        if boot_type == "case" or not isinstance(get_estimator(method), MatrixEstimator) or est_kwargs.get("cor_method") == "spearman":
-            raise ValueError(f"tables of more than {MOST_CELLS} values support nonparametric bootstraps of Pearson correlations")
-        return BootstrapResult(original, boot_type, n_boots, first.unionByName(_weighted(data, names, method, statistics, n_boots, seed or 0, n, est_kwargs)))
-    shared = active().sparkContext.broadcast(ordered_matrix(data, names))  # MOST_CELLS values at most
 
-    if boot_type == "nonparametric":
-        seeds = rng.integers(0, 2**31, n_boots)
+    if not case:
+        tasks = [(k, int(s), None) for k, s in enumerate(rng.integers(0, 2**31, n_boots))]
 
-        def replicate(tasks):
-            x = shared.value
-            tables = [x[np.random.default_rng(t.seed).choice(len(x), len(x), replace=True)] for t in tasks]
-            nets = replicate_networks(tables, labels, method, est_kwargs)
-            return [(t.boot_id, False, *r) for t, net in zip(tasks, nets, strict=True) if net is not None for r in statistics_of(net, statistics)]
+        def use(k: int, net: Network | None) -> list[tuple]:
+            return [] if net is None else [(k, False, *r) for r in statistics_of(net, statistics)]
 
-        tasks = [(k, int(s)) for k, s in enumerate(seeds)]
-        found = run_tasks(tasks, "boot_id long, seed long", replicate, STATISTIC_ROWS, TOGETHER)
-        return BootstrapResult(original, boot_type, n_boots, first.unionByName(_kept(found)))
+        found = replicate_networks(data, tasks, method, est_kwargs, use, STATISTIC_ROWS)
+        return BootstrapResult(original, boot_type, n_boots, first.unionByName(found).persist())
 
+    n = data.count()
     shares = proportions(n, case_min, case_max, case_n)
     seeds = rng.integers(0, 2**31, n_boots * len(shares))
     wanted = {s: np.array([r[3] for r in statistics_of(original, (s,))]) for s in statistics}
+    tasks = [(k, int(s), max(3, int(n * shares[k // n_boots]))) for k, s in enumerate(seeds)]
 
-    def drop(tasks):
-        x = shared.value
-        out = []
-        for share in dict.fromkeys(t.proportion for t in tasks):
-            same = [t for t in tasks if t.proportion == share]
-            size = max(3, int(len(x) * share))
-            tables = [x[np.random.default_rng(t.seed).choice(len(x), size, replace=False)] for t in same]
-            for t, net in zip(same, replicate_networks(tables, labels, method, est_kwargs), strict=True):
-                for s in statistics:
-                    r = None if net is None else _pearson(wanted[s], np.array([v[3] for v in statistics_of(net, (s,))]))
-                    out.append((share, s, t.boot_id, r))
-        return out
-
-    tasks = [(p, b, int(seeds[k * n_boots + b])) for k, p in enumerate(shares) for b in range(n_boots)]
-    found = run_tasks(tasks, "proportion double, boot_id long, seed long", drop, CORRELATION_ROWS, TOGETHER)
-    return BootstrapResult(original, boot_type, n_boots, first, _kept(found))
-
+    def compare(k: int, net: Network | None) -> list[tuple]:
+        own = {} if net is None else {s: np.array([r[3] for r in statistics_of(net, (s,))]) for s in statistics}
+        return [(shares[k // n_boots], s, k % n_boots, _pearson(wanted[s], own[s]) if own else None) for s in statistics]
 
-def _kept(found: DataFrame) -> DataFrame:
-    """Replicates are dear, and several aggregates read them: they are computed once."""
-    return found.persist()
+    found = replicate_networks(data, tasks, method, est_kwargs, compare, CORRELATION_ROWS)
+    return BootstrapResult(original, boot_type, n_boots, first, found.persist())
 
 
 def _pearson(a: np.ndarray, b: np.ndarray) -> float | None:
     if len(a) < 3 or a.std() == 0 or b.std() == 0:
         return None
     return float(np.corrcoef(a, b)[0, 1])
-
-
-def _weighted(data, names, method, statistics, n_boots, seed, n, est_kwargs) -> DataFrame:
-    """Replicates of a large table: Poisson weights by hash, moments per replicate by one aggregation."""
-    rows = as_doubles(data, names)
-    centre = rows.agg(*(F.avg(c).alias(c) for c in names)).first()
-    shift = np.array([centre[c] or 0.0 for c in names])
-    p = len(names)
-
-    def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
-
-        i, j = np.triu_indices(p)
-        rng = np.random.default_rng([seed, TaskContext.get().partitionId()])
-        w1, w2, wn = np.zeros((n_boots, p)), np.zeros((n_boots, len(i))), np.zeros(n_boots)
-        for frame in frames:
-            x = frame[names].dropna().to_numpy(float) - shift
-            for part in np.array_split(x, max(1, len(x) // 4096)):
-                w = rng.poisson(1.0, (n_boots, len(part))).astype(float)
-                wn += w.sum(1)
-                w1 += w @ part
-                w2 += w @ (part[:, i] * part[:, j])
-        yield pd.DataFrame({"boot_id": np.arange(n_boots), "n": wn, "a": list(w1), "b": list(w2)})
-
-    parts = rows.mapInPandas(sums, "boot_id long, n double, a array<double>, b array<double>")
-    add = lambda c, k: F.array(*(F.sum(F.get(c, F.lit(x))) for x in range(k)))
-    moments = parts.groupBy("boot_id").agg(F.sum("n").alias("n"), add("a", p).alias("a"), add("b", p * (p + 1) // 2).alias("b"))
-    labels = tuple(names)
-
-    def fit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        i, j = np.triu_indices(p)
-        for frame in frames:
-            out = []
-            for t in frame.itertuples(index=False):
-                mean = np.array(t.a) / t.n
-                cov = np.zeros((p, p))
-                cov[i, j] = cov[j, i] = np.array(t.b) / t.n - mean[i] * mean[j]
-                sd = np.sqrt(np.diag(cov))
-                try:
-                    net = get_estimator(method).from_matrix(cov / np.outer(sd, sd), n, labels, **est_kwargs)
-                except Exception:
-                    continue
-                out += [(t.boot_id, False, *r) for r in statistics_of(net, statistics)]
-            yield pd.DataFrame(out, columns=["boot_id", "is_original", "statistic", "node1", "node2", "value"])
-
-    return _kept(moments.mapInPandas(fit, STATISTIC_ROWS))

@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 from ..kernels import sparse_precision as kernel
 from ..network import GroupNetwork, Network, active
 from ..operators import resampling
+from ..operators.draws import correlations_of, replicate_sums, sums_of
 from ..operators.moments import correlations, matrix
 from ..sources.datasets import ROW
 from ..sources.observations import as_doubles, variables
-from .bootstrap import MOST_CELLS, _checked, _kept, run_tasks, statistics_of
+from .bootstrap import STATISTICS, _checked, run_tasks, statistics_of
 
 GROUP = "group"
 PENALTIES, CRITERIA = ("fused", "group"), ("aic", "bic", "ebic")
@@ -124,6 +125,10 @@ class GroupBootstrapResult:
         name = F.when(F.col("is_original"), F.lit("original")).otherwise(F.col("boot_id").cast("string"))
         return self.statistics.select(name.alias("boot_id"), "group", "statistic", "node1", "node2", "value")
 
+    def release(self) -> None:
+        """Let go of the replicates that Spark keeps; a later use computes them again."""
+        self.statistics.unpersist()
+
     def summary(self, statistic: str = "edge", group: str | None = None) -> DataFrame:
         rows = self.statistics if group is None else self.statistics.where(F.col("group") == group)
         return resampling.summary(rows, statistic, ("group",))
@@ -145,27 +150,22 @@ def bootnet_group(
     verbose: bool = True,
     **est_kwargs,
 ) -> GroupBootstrapResult:
-    """Replicates of a joint estimate: rows are drawn with replacement within each group."""
-    statistics = _checked(statistics or ["edge", "strength"])
+    """Replicates of a joint estimate: rows are drawn with replacement within each group.
+
+    statistics: all five if not given. n_cores and verbose play no part.
+    """
+    statistics = _checked(statistics or STATISTICS)
     rows, names = grouped(data, group_col)
-    n = rows.count()
-    if n * len(names) > MOST_CELLS:
-        raise ValueError(f"the group bootstrap takes tables of up to {MOST_CELLS} values")
     original = estimate_group_network(rows, group_col=GROUP, **est_kwargs)
-    table = rows.toPandas()
-    table = table.sort_values([ROW], kind="stable") if ROW in table else table
-    shared = active().sparkContext.broadcast({g: t[names].to_numpy(float) for g, t in table.groupby(GROUP)})  # MOST_CELLS values at most
+    seeds = np.random.default_rng(seed).integers(0, 2**31, n_boots)
+    order = ROW if ROW in rows.columns else None
+    sums, size = replicate_sums(rows, names, order, [(k, int(s), None) for k, s in enumerate(seeds)], by=GROUP)
     labels = tuple(names)
     options = {"penalty": "fused", "criterion": "ebic", "gamma": 0.5, "search": "sequential", "n_lambda1": 30, "n_lambda2": 30,
                "lambda1_min_ratio": 0.01, "lambda2_min_ratio": 0.01, "threshold": 1e-4, "max_iter": 500, "tol": 1e-4, "lambda1": None, "lambda2": None} | est_kwargs
 
-    def replicate(task):
-        rng = np.random.default_rng(task.seed)
-        cov, size = {}, {}
-        for g in sorted(shared.value):
-            x = shared.value[g]
-            cov[g] = np.nan_to_num(pd.DataFrame(x[rng.choice(len(x), len(x), replace=True)]).corr().to_numpy())
-            size[g] = len(x)
+    def replicate(number: int, sums: dict[str, np.ndarray]) -> list[tuple]:
+        cov = {g: np.nan_to_num(correlations_of(s, len(names))) for g, s in sums.items()}
         o = options
         try:
             pair = (o["lambda1"], o["lambda2"])
@@ -175,10 +175,17 @@ def bootnet_group(
             fit = _fit(cov, size, labels, *pair, o["penalty"], o["criterion"], o["threshold"], o["max_iter"], o["tol"])
         except Exception:  # a replicate that can't be fitted is left out
             return []
-        return [(g, task.boot_id, False, *r) for g, net in fit.networks.items() for r in statistics_of(net, statistics)]
+        return [(g, number, False, *r) for g, net in fit.networks.items() for r in statistics_of(net, statistics)]
 
     kinds = "group string, boot_id long, is_original boolean, statistic string, node1 string, node2 string, value double"
-    seeds = np.random.default_rng(seed).integers(0, 2**31, n_boots)
-    found = run_tasks([(k, int(s)) for k, s in enumerate(seeds)], "boot_id long, seed long", replicate, kinds)
+    columns = [c.strip().split(" ")[0] for c in kinds.split(",")]
+
+    def fit(key, frame):
+        own: dict[int, dict] = {}
+        for (task, g), s in sums_of(frame).items():
+            own.setdefault(int(task), {})[g] = s
+        return pd.DataFrame([r for k, s in own.items() for r in replicate(k, s)], columns=columns)
+
+    found = sums.groupBy(F.expr("task div 4")).applyInPandas(fit, kinds)
     known = [(g, -1, True, *r) for g, net in original.networks.items() for r in statistics_of(net, statistics)]
-    return GroupBootstrapResult(original, n_boots, active().createDataFrame(known, kinds).unionByName(_kept(found)))
+    return GroupBootstrapResult(original, n_boots, active().createDataFrame(known, kinds).unionByName(found).persist())

@@ -40,6 +40,16 @@ def auto_structure(p: int, structure: str) -> str:
     return structure
 
 
+def convergence_note(info: dict[str, dict], wanted: str) -> str | None:
+    """One sentence on the outcomes whose models needed simpler random effects or had trouble; None if all is well."""
+    simpler = [f"{n} ({wanted} -> {x['actual_re']})" for n, x in info.items() if x["actual_re"] != wanted]
+    trouble = [n for n, x in info.items() if x["warnings"]]
+    said = [f"simpler random effects for: {', '.join(simpler)}"] if simpler else []
+    if trouble:
+        said.append(f"convergence trouble for: {', '.join(trouble)}; see fit_info[outcome]['warnings']")
+    return "mixed models: " + "; ".join(said) if said else None
+
+
 def subject_sums(pairs: DataFrame, names: list[str], subject: str, outcome: int) -> DataFrame:
     """(subject, n, xx, xy, yy) of x = (1, lags) and one outcome, over rows where all are present."""
     x = [F.lit(1.0), *(F.col(f"{n}_lag") for n in names)]
@@ -58,7 +68,7 @@ def estimate_multilevel_network(
     beep: str | None = None,
     day: str | None = None,
     order_by: str = ROW,
-    temporal_alpha: float = 0.05,
+    temporal_alpha: float | None = 0.05,
     temporal: str = "correlated",
     engine: str = "auto",
     auto_re: bool = True,
@@ -74,7 +84,7 @@ def estimate_multilevel_network(
 
     temporal: 'correlated', 'orthogonal' or 'fixed' (random intercepts alone). order_by: the column
     that holds the order of rows within subjects. Subjects without any pair of consecutive rows get
-    the common effects.
+    the common effects. temporal_alpha: effects with larger p-values are zero; None keeps all.
     """
     if engine not in ("auto", "statsmodels", "lme4"):
         raise ValueError(f"engine must be 'auto', 'statsmodels' or 'lme4', not {engine!r}")
@@ -116,9 +126,11 @@ def estimate_multilevel_network(
     fixed = np.array([fits[j].fixed for j in range(p)])
     pvalues = np.array([fits[j].pvalues for j in range(p)])[:, 1:]
     raw = kernel.cut_small(fixed[:, 1:], threshold)
-    masked = pvalues > temporal_alpha
-    total = pairs.count()
+    masked = np.zeros(raw.shape, bool) if temporal_alpha is None else pvalues > temporal_alpha
+    own_pairs = {r[0]: r[1] for r in pairs.groupBy(subject).count().collect()}
+    total = sum(own_pairs.values())
     temporal_net = Network(np.where(masked, 0.0, raw), labels, "mlVAR", total, directed=True)
+    unthresholded = None if temporal_alpha is None else Network(raw, labels, "mlVAR", total, directed=True)
 
     subjects = sorted(r[0] for r in data.select(subject).distinct().collect())
     effects = {}
@@ -129,7 +141,7 @@ def estimate_multilevel_network(
     own = {}
     for s in subjects:
         b = effects.get(s, fixed)[:, 1:]
-        own[s] = Network(np.where(masked, 0.0, kernel.cut_small(b, threshold)), labels, "mlVAR", total, directed=True)
+        own[s] = Network(np.where(masked, 0.0, kernel.cut_small(b, threshold)), labels, "mlVAR", own_pairs.get(s, 0), directed=True)
 
     cor, n_cor = _residual_correlations(pairs, names, subject, effects, fixed, kind)
     pooled = kernel.ebic_path(cor, n_cor, gamma=gamma, n_lambda=n_lambda, lambda_min_ratio=lambda_min_ratio, threshold=threshold)
@@ -147,11 +159,11 @@ def estimate_multilevel_network(
     between = Network(path.network, labels, "EBICglasso", n_between)
 
     info = {n: {"bic": fits[j].bic, "aic": fits[j].aic, "actual_re": fits[j].structure, "warnings": list(fits[j].warnings)} for j, n in enumerate(names)}
-    simpler = [n for n in names if info[n]["actual_re"] != structure]
-    if simpler:
-        warnings.warn(f"simpler random effects than '{structure}' were fitted for: {', '.join(simpler)}", UserWarning, stacklevel=2)
+    note = convergence_note(info, structure)
+    if note:
+        warnings.warn(note, UserWarning, stacklevel=2)
     pairs.unpersist()
-    return MultilevelNetwork(temporal_net, contemporaneous, between, own, labels, subjects, pvalues, info, "mlVAR", total, raw)
+    return MultilevelNetwork(temporal_net, contemporaneous, between, own, labels, subjects, pvalues, info, "mlVAR", total, unthresholded)
 
 
 def _residual_correlations(pairs, names, subject, effects, fixed, kind) -> tuple[np.ndarray, int]:

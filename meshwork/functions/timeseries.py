@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..kernels import sparse_precision as kernel
@@ -11,6 +11,7 @@ from ..kernels.regression import FoldSums, lasso_cv
 from ..network import EstimationInfo, Network, TSNetwork
 from ..operators.lag import lag_pairs
 from ..operators.moments import correlations, matrix
+from ..operators.order import numbered
 from ..sources.datasets import ROW
 from ..sources.observations import check_series
 from .bootstrap import run_tasks
@@ -22,7 +23,7 @@ def fold_sums(pairs: DataFrame, names: list[str], order_by: str, folds: int) ->
     z = [*(f"{n}_lag" for n in names), *names]
     total = pairs.count()
     folds = min(folds, total)
-    number = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(order_by)) - 1
+    pairs, number = numbered(pairs, order_by, "_number", total=total), F.col("_number")
     long, size = total % folds, total // folds
     fold = F.when(number < long * (size + 1), F.floor(number / (size + 1))).otherwise(long + F.floor((number - long * (size + 1)) / max(size, 1)))
     upper = [(i, j) for i in range(len(z)) for j in range(i, len(z))]
@@ -36,6 +37,12 @@ def fold_sums(pairs: DataFrame, names: list[str], order_by: str, folds: int) ->
     return total, out
 
 
+def residuals(pairs: DataFrame, names: list[str], b: np.ndarray) -> DataFrame:
+    """Each variable less what row j of b makes of the lags; without an intercept."""
+    explained = lambda j: sum((F.lit(float(b[j, k])) * F.col(f"{m}_lag") for k, m in enumerate(names)), F.lit(0.0))
+    return pairs.select(*((F.col(n) - explained(j)).alias(n) for j, n in enumerate(names)))
+
+
 def estimate_var_network(
     data: DataFrame,
     *,
@@ -79,8 +86,7 @@ def estimate_var_network(
     for r in found:
         b[r.j] = r.b
     b = kernel.cut_small(b, var_threshold)
-    residuals = pairs.select(*((F.col(n) - sum((F.lit(float(b[j, k])) * F.col(f"{m}_lag") for k, m in enumerate(names)), F.lit(0.0))).alias(n) for j, n in enumerate(names)))
-    cor = matrix(correlations(residuals, names), p)
+    cor = matrix(correlations(residuals(pairs, names, b), names), p)
     path = kernel.ebic_path(cor, total, gamma=gamma, n_lambda=n_lambda, lambda_min_ratio=lambda_min_ratio, threshold=contemp_threshold)
     used = {"gamma": gamma, "n_lambda": n_lambda, "lambda_min_ratio": lambda_min_ratio, "threshold": contemp_threshold}
     info = EstimationInfo("EBICglasso", used, cor, path.penalty, path.ebic, tuple(path.curve))

@@ -71,11 +71,20 @@ class MixedFit:
     aic: float
     structure: str
     converged: bool
+    theta: np.ndarray  # square roots of variances over the residual variance, or the Cholesky factor
     warnings: list[str] = field(default_factory=list)
 
 
 STRUCTURES = ("correlated", "orthogonal", "fixed")
 
+#: Parts of warnings after which a simpler structure is fitted, of this engine and of R's.
+SEVERE = ("singular", "not positive definite", "optimization failed", "on the boundary")
+SEVERE_IN_R = ("failed to converge", "singular", "unable to evaluate", "boundary")
+
+
+def is_severe(notes: list[str], parts: tuple[str, ...] = SEVERE) -> bool:
+    return any(part in note.lower() for note in notes for part in parts)
+
 
 def _covariance(theta: np.ndarray, q: int, structure: str) -> np.ndarray:
     """Covariance of random effects over the residual variance; 'fixed' has a random intercept alone."""
@@ -209,7 +218,7 @@ def mixed_model(a: np.ndarray, c: np.ndarray, yy: np.ndarray, count: np.ndarray,
             notes.append("the covariance of random effects is singular")
     return MixedFit(
         beta, np.array([math.erfc(v / math.sqrt(2)) for v in z]), random, float(sigma2), float(loglik),
-        float(-2 * loglik + k * math.log(n)), float(-2 * loglik + 2 * k), structure, ok, notes,
+        float(-2 * loglik + k * math.log(n)), float(-2 * loglik + 2 * k), structure, ok, theta, notes,
     )
 
 
@@ -225,7 +234,7 @@ def mixed_model_chain(a, c, yy, count, structure: str) -> MixedFit:
         except np.linalg.LinAlgError as e:
             notes.append(f"{s}: {e}")
             continue
-        if fit.converged or s == chain[-1]:
+        if s == chain[-1] or fit.converged and not is_severe(fit.warnings):
             fit.warnings = notes + [f"{s}: {w}" for w in fit.warnings]
             return fit
         notes += [f"{s}: {w}" for w in fit.warnings]

@@ -183,7 +183,11 @@ class MultilevelNetwork:
     fit_info: dict[str, dict]
     method: str
     n_observations: int
-    unthresholded_temporal: np.ndarray | None = None
+    unthresholded_temporal: Network | None = None
+
+    @property
+    def n_nodes(self) -> int:
+        return len(self.labels)
 
     @property
     def n_subjects(self) -> int:
@@ -200,8 +204,8 @@ class MultilevelNetwork:
 
     def temporal_thresholded(self, alpha: float = 0.05) -> Network:
         """The temporal network with effects of p > alpha at zero."""
-        base = self.temporal.adjacency if self.unthresholded_temporal is None else self.unthresholded_temporal
-        return replace(self.temporal, adjacency=np.where(self.pvalues > alpha, 0.0, base))
+        base = self.temporal if self.unthresholded_temporal is None else self.unthresholded_temporal
+        return replace(base, adjacency=np.where(self.pvalues > alpha, 0.0, base.adjacency))
 
     def subject_network(self, subject_id) -> Network:
         if subject_id not in self.subject_temporal:

@@ -8,17 +8,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.observations import as_doubles
+from .order import predecessors
 
 
-def consecutive(beep: str | None, day: str | None, window) -> Column:
-    """Whether a row follows the one before it: beeps one apart and, if given, the same day.
+def consecutive(beep: str | None, day: str | None, before) -> Column:
+    """Whether a row follows the one before it: beeps one apart and, if given, the same day. before: a
+    column's value in that row.
 
     Without beeps every row follows the one before it, whatever its day.
     """
     if beep is None:
         return F.lit(True)
-    rule = (F.col(beep) - F.lag(beep).over(window)) == 1
-    return rule & (F.col(day) == F.lag(day).over(window)) if day else rule
+    rule = (F.col(beep) - before(beep)) == 1
+    return rule & (F.col(day) == before(day)) if day else rule
 
 
 def lag_pairs(
@@ -35,15 +37,21 @@ def lag_pairs(
     """([subject,] order_by, v, v_lag for every variable) of rows that follow the row before.
 
     drop_empty: rows without any value are dropped first, and don't stand between others.
-    A single series is one sequence and is ordered in one task; subjects are dealt over tasks.
+    Subjects are dealt over tasks, a single series by ranges of its order.
     """
     keep = list(dict.fromkeys(c for c in (subject, order_by, beep, day) if c and c not in names))
     rows = as_doubles(df, names, *keep)
     if drop_empty:
         rows = rows.dropna("all", subset=names)
-    window = (Window.partitionBy(subject) if subject else Window.partitionBy(F.lit(0))).orderBy(order_by)
-    number = F.row_number().over(window)
-    rows = rows.select("*", (consecutive(beep, day, window) & (number > 1)).alias("_follows"), *(F.lag(n).over(window).alias(f"{n}{suffix}") for n in names))
+    if subject:
+        window = Window.partitionBy(subject).orderBy(order_by)
+        follows = consecutive(beep, day, lambda c: F.lag(c).over(window)) & (F.row_number().over(window) > 1)
+        rows = rows.select("*", follows.alias("_follows"), *(F.lag(n).over(window).alias(f"{n}{suffix}") for n in names))
+    else:
+        seen = list(dict.fromkeys([*names, *(c for c in (beep, day) if c)]))
+        rows = predecessors(rows, order_by, seen, suffix)
+        follows = consecutive(beep, day, lambda c: F.col(f"{c}{suffix}")) & ~F.col("_first")
+        rows = rows.withColumn("_follows", follows)
     out = list(dict.fromkeys([*([subject] if subject else []), order_by, *(x for n in names for x in (n, f"{n}{suffix}"))]))
     return rows.where("_follows").select(*out)
 

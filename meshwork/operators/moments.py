@@ -6,16 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.observations import as_doubles
+from .order import running, with_values
 
 #: Up to so many variables, all pairs are one aggregate of built-in functions; beyond, generated code
 #: for the pairs grows too large for the JVM, and partial sums are made in Arrow batches.
 BUILT_IN_UP_TO = 12
-#: Buckets of a distributed ranking.
-BUCKETS = 64
 
 
 def _pair(x: Column, y: Column) -> Column:
@@ -83,29 +82,20 @@ def _wide_pearson(rows: DataFrame, names: list[str], by: str | None) -> DataFram
 def average_ranks(rows: DataFrame, names: list[str], by: list[str]) -> DataFrame:
     """rows with the named columns replaced by their average ranks within `by`, among values present.
 
-    No task ranks all rows: a rank is the number of rows in lower buckets of the value plus the
-    rank within the bucket; ties are in one bucket, as they are one value."""
-    shares = [k / BUCKETS for k in range(1, BUCKETS)]
-    quantiles = rows.approxQuantile(names, shares, 1 / (4 * BUCKETS))
-    out = rows
-    for name, found in zip(names, quantiles, strict=True):
-        cuts = sorted(set(found))
-        above = F.size(F.filter(F.array(*(F.lit(c) for c in cuts)), lambda c: c < F.col(name))) if cuts else F.lit(0)  # noqa: B023
-        bucket = F.when(F.col(name).isNotNull(), above)
-        counts = rows.groupBy(*(F.col(b).alias(f"_{b}") for b in by), bucket.alias("_k")).agg(F.count(name).alias("_n"))
-        below = Window.partitionBy(*(f"_{b}" for b in by)) if by else Window.partitionBy(F.lit(0))
-        below = below.orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
-        counts = counts.select(*(f"_{b}" for b in by), "_k", F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_before"))
-        placed = out.withColumn("_bucket", bucket)
-        same = F.col("_bucket").eqNullSafe(F.col("_k"))
-        for b in by:
-            same &= F.col(b).eqNullSafe(F.col(f"_{b}"))
-        placed = placed.join(counts if by else F.broadcast(counts), same)  # without groups, BUCKETS + 1 rows
-        within = Window.partitionBy(*by, "_bucket").orderBy(name)
-        ties = Window.partitionBy(*by, "_bucket", name)
-        rank = F.col("_before") + F.rank().over(within) + (F.count(F.lit(1)).over(ties) - 1) / 2
-        out = placed.withColumn(name, F.when(F.col(name).isNotNull(), rank.cast("double"))).select(*rows.columns)
-    return out
+    Ranks belong to values, not rows: values are counted (before any shuffle, so that a value that
+    most rows have is one record a task), the counts are summed up in the order of the values, and
+    the ranks are joined back. No task ranks all rows, nor all rows of one value.
+    """
+    total = rows.count()
+    groups = {f"_g{k}": F.coalesce(F.col(b).cast("string"), F.lit("\x00")) for k, b in enumerate(by)}
+    out = rows.withColumns(groups)
+    for name in names:
+        present = rows.where(F.col(name).isNotNull()).groupBy(*(g.alias(k) for k, g in groups.items()), F.col(name))
+        counted = present.agg(F.count(F.lit(1)).alias("_size"))
+        below = running(counted, name, F.col("_size"), "_below", tuple(groups), total)
+        ranked = below.select(*groups, name, "_size", (F.col("_below") + (F.col("_size") + 1) / 2).alias(f"_rank_{name}"))
+        out = with_values(out, ranked, [*groups, name], "_size", total)
+    return out.select(*(F.col(f"_rank_{c}").alias(c) if c in names else F.col(c) for c in rows.columns))
 
 
 def _spearman(rows: DataFrame, names: list[str], by: str | None) -> DataFrame:

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from ..functions.bootstrap import bootnet
 from ..functions.centrality import centrality
-from ..functions.community import communities
 from ..functions.estimation import estimate_network
 from ..functions.group import estimate_group_network
 from ..functions.multilevel import estimate_multilevel_network
@@ -124,12 +123,6 @@ def cor_group_edges(spark, d):
     return rounded(degree.edges(degree.weights_of(table_), ("group",)), "weight")
 
 
-@query(f"WITH {LINE_SQL} SELECT * FROM ({pair_sql(LINE, 'g', head='"group", ', tail=' GROUP BY "group"')}) WHERE abs(weight) >= 0.01")
-def compare_edges(spark, d):
-    table_ = degree.weights_of(moments.correlations(lines(spark, d), LINE, by="group"), 0.01)
-    return rounded(degree.edges(table_, ("group",)), "weight")
-
-
 _RANKS = ", ".join(f"rank() OVER (ORDER BY {n}) + (count(*) OVER (PARTITION BY {n}) - 1) / 2.0 AS {n}" for n in ("lines", "qty", "disc"))
 
 
@@ -205,12 +198,6 @@ def closeness(spark, d):
     return rounded(centrality(net).select("node", "closeness"), "closeness")
 
 
-@query()
-def betweenness(spark, d):
-    net = estimate_network(orders(spark, d).select(*ORDER), method="cor")
-    return rounded(centrality(net).select("node", "betweenness"), "betweenness")
-
-
 _PART = "c AS (SELECT * FROM (VALUES ('lines', 0), ('qty', 0), ('price', 0), ('disc', 1), ('tax', 1)) AS t(node, community))"
 
 
@@ -238,11 +225,6 @@ def community_renumber(spark, d):
 # Estimators without SQL ----------------------------------------------------------------------
 
 
-@query()
-def pcor_general(spark, d):
-    return estimate_network(orders(spark, d).select(*ORDER), method="pcor").edges_df
-
-
 @query()
 def ebicglasso_edges(spark, d):
     return estimate_network(orders(spark, d).select(*ORDER)).edges_df
@@ -257,36 +239,26 @@ def _embeddings(spark, d, p: int) -> DataFrame:
     return table(spark, d, "embeddings").select(*(F.get("embedding", F.lit(k)).cast("double").alias(f"e{k}") for k in range(p)))
 
 
-_EMBED = [f"e{k}" for k in range(20)]
-_EMBED_SQL = "f AS (SELECT " + ", ".join(f"CAST(embedding[{k + 1}] AS DOUBLE) AS e{k}" for k in range(20)) + " FROM embeddings)"
+_EMBED = [f"e{k}" for k in range(64)]
 
 
-@query(f"WITH {_EMBED_SQL} {pair_sql(_EMBED, 'f')}")
+@query(
+    """WITH x AS (SELECT vec_id, unnest(range(0, 64)) AS k, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings)
+    SELECT 'e' || a.k AS node1, 'e' || b.k AS node2, round(corr(a.v, b.v), 6) AS weight FROM x AS a JOIN x AS b ON a.vec_id = b.vec_id AND a.k < b.k GROUP BY a.k, b.k"""
+)
 def wide_cor_edges(spark, d):
-    return rounded(degree.edges(degree.weights_of(moments.correlations(_embeddings(spark, d, 20), _EMBED))), "weight")
-
-
-def _community(method: str):
-    def run(spark, d):
-        return communities(estimate_network(_embeddings(spark, d, 12), method="cor"), method=method, **({"seed": 1} if method == "louvain" else {}))
-
-    run.__name__ = {"greedy_modularity": "greedy"}.get(method, method)
-    return query()(run)
-
-
-for _m in ("walktrap", "louvain", "greedy_modularity"):
-    _community(_m)
+    return rounded(degree.edges(degree.weights_of(moments.correlations(_embeddings(spark, d, 64), _EMBED))), "weight")
 
 
 @query()
 def jgl_edges(spark, d):
-    return estimate_group_network(lines(spark, d), group_col="group", n_lambda1=8, n_lambda2=8).compare_edges()
+    return estimate_group_network(lines(spark, d), group_col="group").compare_edges()
 
 
 @query()
 def var_temporal_edges(spark, d):
     days = panel(spark, d).groupBy(F.col("beep").alias("row_id")).agg(*(F.sum(v).alias(v) for v in PANEL))
-    return estimate_var_network(days, cv=5, n_alphas=30).temporal.weights()
+    return estimate_var_network(days).temporal.weights()
 
 
 @query()
@@ -340,11 +312,6 @@ def between_cor(spark, d):
     return rounded(degree.edges(degree.weights_of(moments.correlations(lag.subject_means(panel(spark, d), PANEL, "subject"), PANEL))), "weight")
 
 
-@query(f"WITH {PANEL_SQL} SELECT subject, count(*) AS n FROM p GROUP BY subject HAVING count(*) < 27")
-def panel_validation(spark, d):
-    return panel(spark, d).groupBy("subject").agg(F.count(F.lit(1)).alias("n")).where("n < 27")
-
-
 # The lag-1 cross-correlations of the panel as a directed network.
 
 _CROSS = union(
@@ -451,4 +418,4 @@ def stability_curve(spark, d):
 def bootnet_edges(spark, d):
     rows = table(spark, d, "customer").select(F.col("c_custkey").alias("row_id"), F.col("c_nationkey").cast("double").alias("nation"), F.col("c_acctbal").cast("double").alias("balance"))
     rows = rows.withColumn("both", F.col("nation") * 10 + F.col("balance") / 500)
-    return bootnet(rows, n_boots=40, method="cor", statistics=["edge"], seed=1).summary("edge")
+    return bootnet(rows, method="cor", statistics=["edge"], seed=1).summary("edge")

@@ -71,8 +71,23 @@ def test_joint_lasso(penalty):
         sp.joint_graphical_lasso(cov, [200, 200], 0, 0, "other")
 
 
-def test_three_groups_fuse():
-    assert np.allclose(sp.fuse_pairs(np.array([0.0, 1.0, 2.0]), 0.05), 1.0)
+@pytest.mark.parametrize("groups", [2, 3, 5])
+def test_fused_prox_is_the_minimiser(groups):
+    rng = np.random.default_rng(groups)
+
+    def loss(v, x, strength):
+        return 0.5 * ((v - x) ** 2).sum(0) + strength * sum(abs(v[k] - v[l]) for k in range(groups) for l in range(k))  # noqa: E741
+
+    for strength in (0.0, 0.05, 0.3, 5.0):
+        x = rng.normal(size=(groups, 7))
+        x[0, 0] = x[1, 0]  # a tie
+        v = sp.fused_prox(x, strength)
+        best = loss(v, x, strength)
+        for step in (1e-3, 1e-2, 0.3):
+            for _ in range(200):
+                assert (loss(v + rng.normal(size=v.shape) * step, x, strength) >= best - 1e-12).all()
+    assert np.allclose(sp.fused_prox(np.array([0.0, 1.0, 2.0]), 0.05), [0.1, 1.0, 1.9])
+    assert np.allclose(sp.fused_prox(np.array([0.0, 1.0, 2.0]), 9.0), 1.0)
 
 
 def random_graph(n, seed, directed=False):

@@ -5,10 +5,12 @@ import warnings
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import meshwork as mw
-from meshwork.functions.bootstrap import BootstrapResult, _weighted, proportions
-from meshwork.operators import lag
+from meshwork.functions.bootstrap import BootstrapResult, proportions
+from meshwork.functions import estimation
+from meshwork.operators import lag, moments
 from meshwork.operators.moments import correlations, matrix
 
 LABELS = ("A", "B", "C")
@@ -153,12 +155,21 @@ def test_bootstrap(spark):
 def test_case_dropping(spark):
     data = mw.make_bfi25(spark, 120).select("row_id", "O1", "O2", "O3", "C1", "C2")
     found = mw.bootnet(data, n_boots=6, boot_type="case", case_n=4, method="cor", seed=1)
-    assert found.case_drop_correlations.count() == 24
+    assert found.case_drop_correlations.count() == 24 * 4
     assert 0 <= found.cs_coefficient("strength") <= 0.75
     with pytest.raises(ValueError, match="nonparametric"):
         found.difference_test("strength")
+    assert 0 <= found.cs_coefficient("closeness") <= 0.75
+    table = data.toPandas()
+    shares = proportions(120, 0.25, 0.75, 4)
+    seed = np.random.default_rng(1).integers(0, 2**31, 6 * len(shares))[6]
+    kept = np.random.default_rng(seed).choice(120, int(120 * shares[1]), replace=False)
+    strength = lambda t: (lambda r: (np.abs(r) - np.eye(len(r))).sum(1))(t.drop(columns="row_id").corr().to_numpy())
+    want = np.corrcoef(strength(table), strength(table.iloc[kept]))[0, 1]
+    mine = found.case_drop_correlations.where(f"statistic = 'strength' AND boot_id = 0 AND abs(proportion - {shares[1]}) < 1e-9").first()
+    assert np.isclose(mine["correlation"], want)
     with pytest.raises(ValueError):
-        found.cs_coefficient("closeness")
+        found.cs_coefficient("nope")
     assert proportions(100, 0.25, 0.75, 3) == [0.75, 0.5, 0.25]
 
 
@@ -184,14 +195,62 @@ def test_inherited_arguments(spark):
     assert any("overrides network's estimation_info" in str(w.message) for w in seen)
 
 
-def test_weighted_bootstrap_of_large_tables(spark):
-    data = mw.make_bfi25(spark, 400).select("row_id", "O1", "O2", "C1")
-    found = _weighted(data, ["O1", "O2", "C1"], "cor", ("edge",), 200, 1, 400, {}).toPandas()
-    exact = mw.bootnet(data, n_boots=200, method="cor", statistics=["edge"], seed=1).summary("edge").toPandas()
-    for r in exact.itertuples():
-        mine = found[(found.node1 == r.node1) & (found.node2 == r.node2)]["value"]
-        assert abs(mine.mean() - r.mean) < 0.02
-        assert abs(mine.std() - r.sd) < 0.015
+def test_bootstrap_over_many_blocks(spark, monkeypatch):
+    """Blocks, slabs and chunks far smaller than the table, missing values, and ranks: the same replicates."""
+    from meshwork.operators import draws
+
+    table = mw.make_bfi25(spark, 300).select("row_id", "O1", "O2", "C1").toPandas().astype({"O1": float, "O2": float})
+    table.loc[::7, "O1"] = np.nan
+    data = spark.createDataFrame(table)
+    data = data.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in ("O1", "O2")}).repartition(5)
+    for name, size in (("BLOCK", 64), ("CHUNK", 37), ("SLAB", 128)):
+        monkeypatch.setattr(draws, name, size)
+    seeds = np.random.default_rng(2).integers(0, 2**31, 5)
+    for method in ("pearson", "spearman"):
+        found = mw.bootnet(data, n_boots=5, method="cor", cor_method=method, statistics=["edge"], seed=2).boot_statistics.toPandas()
+        for k, s in enumerate(seeds):
+            rows = table.drop(columns="row_id").iloc[np.random.default_rng(s).choice(300, 300, replace=True)]
+            want = rows.corr(method).loc["O1", "O2"] if method == "pearson" else rows[["O1", "O2"]].dropna().rank().corr().iloc[0, 1]
+            mine = found[(found.boot_id == str(k)) & (found.node1 == "O1") & (found.node2 == "O2")]["value"].iloc[0]
+            assert np.isclose(mine, want)
+
+
+def test_bootstrap_of_own_estimator(spark):
+    @mw.register("first-two")
+    class FirstTwo:
+        name = ""
+
+        def estimate(self, data, **kwargs):
+            r = data.select(F.corr("O1", "O2")).first()[0]
+            return mw.Network(np.array([[0.0, r], [r, 0.0]]), ("O1", "O2"), "first-two", data.count())
+
+    data = mw.make_bfi25(spark, 60).select("row_id", "O1", "O2")
+    found = mw.bootnet(data, method="first-two", n_boots=3, statistics=["edge"], seed=4).boot_statistics.toPandas()
+    table = data.toPandas()
+    seed = np.random.default_rng(4).integers(0, 2**31, 3)[1]
+    want = table.iloc[np.random.default_rng(seed).choice(60, 60, replace=True)][["O1", "O2"]].corr().iloc[0, 1]
+    assert np.isclose(found[found.boot_id == "1"]["value"].iloc[0], want)
+    del estimation._known["first-two"]
+
+
+def test_order_over_many_buckets(spark, monkeypatch):
+    from meshwork.operators import order
+
+    monkeypatch.setattr(order, "BUCKET_ROWS", 10)
+    rng = np.random.default_rng(0)
+    table = pd.DataFrame({"t": rng.permutation(300), "a": rng.normal(size=300), "g": rng.integers(0, 3, 300), "v": rng.integers(0, 4, 300).astype(float)})
+    data = spark.createDataFrame(table).repartition(4)
+    assert len(order.bounds(data, "t")) > 20
+    numbers = order.numbered(data, "t", "n").toPandas()
+    assert (numbers.n == numbers.t).all()
+    pairs = lag.lag_pairs(data, ["a"], order_by="t", beep="t").toPandas().sort_values("t")
+    series = table.sort_values("t")["a"].to_numpy()
+    assert np.array_equal(pairs["a_lag"], series[:-1]) and np.array_equal(pairs["a"], series[1:])
+    within = order.numbered(data, "t", "n", ("g",)).toPandas()
+    assert (within.n == within.groupby("g")["t"].rank().astype(int) - 1).all()
+    ranks = moments.average_ranks(data.select("g", "t", "v", "a"), ["v", "a"], ["g"]).toPandas().set_index("t").sort_index()
+    want = table.set_index("t").sort_index().groupby("g")[["v", "a"]].rank()
+    assert np.allclose(ranks["v"], want["v"]) and np.allclose(ranks["a"], want["a"])
 
 
 def test_groups(spark):
@@ -236,6 +295,11 @@ def test_multilevel_network(spark):
     assert ((found.temporal.adjacency != 0) <= (found.pvalues <= 0.05)).all()
     assert (found.temporal_thresholded(1e-9).adjacency != 0).sum() <= (found.temporal.adjacency != 0).sum()
     assert found.subject_network("S3").adjacency.shape == (3, 3)
+    assert found.subject_network("S3").n_observations == 39 and found.temporal.n_observations == 12 * 39
+    assert found.unthresholded_temporal.directed
+    whole = mw.estimate_multilevel_network(data, "subject", beep="beep", temporal="orthogonal", temporal_alpha=None, n_lambda=30)
+    assert whole.unthresholded_temporal is None
+    assert np.allclose(whole.temporal.adjacency, found.unthresholded_temporal.adjacency)
     assert set(found.fit_info["V1"]) == {"bic", "aic", "actual_re", "warnings"}
     with pytest.raises(KeyError):
         found.subject_network("nobody")
@@ -266,7 +330,7 @@ def test_communities_and_plots(spark):
     with pytest.raises(ValueError, match="Unknown theme"):
         plotting.set_theme("pink")
     plotting.set_theme("dark")
-    assert plotting.get_theme() == plotting.THEMES["dark"]
+    assert plotting.get_theme() == "dark"
     plotting.set_theme("light")
     try:
         import matplotlib  # noqa: F401
