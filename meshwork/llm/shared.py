@@ -19,21 +19,33 @@ from pyspark.sql import functions as F
 HOT_KEYS = 1000
 
 _own_folder: dict[str, str] = {}
+_tables: set[str] = set()
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a folder of our own only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder that the cluster names; a temporary folder of our own on a local master alone."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    return _own_folder.setdefault("", tempfile.mkdtemp(prefix="meshwork-"))
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share; master {master!r} has none")
+    if "" not in _own_folder:
+        _own_folder[""] = tempfile.mkdtemp(prefix="meshwork-")
+    return _own_folder[""]
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again: the lineage ends here, the files
-    outlive executors, and what a task decided (row keys, random choices) is never decided twice."""
+    outlive executors, and what a task decided (row keys, random choices) is never decided twice.
+
+    discard() deletes it; what a result still reads goes when the driver's JVM ends, or by clear_scratch()."""
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/meshwork/{uuid.uuid4().hex}/{name}"
+    folder = f"{scratch_root(spark)}/meshwork/{uuid.uuid4().hex}"
+    path = f"{folder}/{name}"
+    system, target = _place(spark, folder)
+    system.deleteOnExit(target)
+    _tables.add(folder)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
@@ -45,9 +57,25 @@ def discard(*frames: DataFrame | None) -> None:
     for df in frames:
         path = getattr(df, "scratch_path", None)
         if path:
-            jvm = df.sparkSession._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(df.sparkSession, path.rpartition("/")[0])
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all scratch tables of this driver, when no result is read any more."""
+    for folder in list(_tables):
+        _delete(spark, folder)
+
+
+def _place(spark: SparkSession, folder: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    system, target = _place(spark, folder)
+    system.delete(target, True)
+    system.cancelDeleteOnExit(target)
+    _tables.discard(folder)
 
 
 def settle(spark: SparkSession) -> None:
