@@ -6,24 +6,26 @@
 2. Deal the pieces at random into runs of a bounded number of pieces. Within a run, best-fit
    decreasing packs them into bins, and bins that are full but for `slack` tokens are emitted.
 3. The other bins are items of the next round, in which `fan_in` times fewer runs are packed
-   best-fit again; and so on up the tree, until one run is left, no bin is open, or a round
-   brings (almost) no merge.
+   best-fit again, dealt anew; and so on up the tree, until one run is left, no bin is open, or so
+   many bins are open that fewer runs would be larger than a run may be. An item of these rounds is
+   a number and a fill, whatever pieces it holds; where bins went is a table, joined to the pieces once.
 
-A round holds runs of a bounded number of items in memory and writes its result to the shared
-scratch folder, so that a lost executor costs one round's tasks.
+A run is what a task holds in memory, `run_items` items of a few numbers. Each round writes its
+result to the shared scratch folder, so that a lost executor costs one round's tasks.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 import math
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,26 +45,29 @@ def vocabulary_files() -> tuple[str, str]:
 
 @cache
 def _encoder(ranks_file: str, json_file: str):
-    """text -> ids. The rank file holds the vocabulary and merges of the JSON file, and its encoder
-    is four times as fast; texts it can't take (its pattern engine has a limit on runs of one kind
-    of character) go to the JSON file's encoder. Both give the same ids."""
+    """text -> the ids of the JSON file's tokenizer, without added special tokens at the ends.
+
+    The rank file holds the same vocabulary and merges, and its encoder is four times as fast; texts
+    it can't take (its pattern engine has a limit on runs of one kind of character) go to the JSON
+    file's. The strings of the file's own special tokens are those tokens wherever they stand."""
     import tiktoken
     from tokenizers import Tokenizer
 
     with open(ranks_file, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    fast = tiktoken.Encoding("byte_bpe_50k", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    with open(json_file, encoding="utf-8") as f:
+        special = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+    fast = tiktoken.Encoding("byte_bpe_50k", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
     slow = []
 
     def encode(text: str) -> list[int]:
         try:
-            return fast.encode_ordinary(text)
-        except (KeyboardInterrupt, SystemExit, MemoryError):
-            raise
-        except BaseException:  # a panic of the native code is no Exception
+            return fast.encode(text, allowed_special="all") if any(s in text for s in special) else fast.encode_ordinary(text)
+        except BaseException as e:
+            if type(e).__name__ != "PanicException":  # of the native code, which is no Exception
+                raise
             if not slow:
                 slow.append(Tokenizer.from_file(json_file))
-                slow[0].encode_special_tokens = True
             return slow[0].encode(text, add_special_tokens=False).ids
 
     return encode
@@ -131,51 +136,61 @@ def best_fit(fills: np.ndarray, order: np.ndarray, capacity: int) -> tuple[np.nd
     return bins, offsets
 
 
-def _pack_run(capacity: int, slack: int):
+def _pack_run(capacity: int, size: str):
+    """The items of a run (bin, a size, ...) with the bin each goes into, its place there, and that bin's fill."""
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
         if not got:
             return
         table = pa.Table.from_batches(got).combine_chunks()
-        numbers, inverse = np.unique(table["bin"].to_numpy(), return_inverse=True)
-        fills = np.bincount(inverse, table["length"].to_numpy(), len(numbers)).astype(np.int64)
+        numbers, fills = table["bin"].to_numpy(), table[size].to_numpy()
         order = np.lexsort((numbers, -fills))
-        bins, shift = best_fit(fills, order, capacity)
-        total = np.bincount(bins, fills).astype(np.int64)
-        name = np.empty(len(total), np.int64)
+        bins, place = best_fit(fills, order, capacity)
+        name = np.empty(bins.max() + 1, np.int64)
         name[bins[order[::-1]]] = numbers[order[::-1]]  # the first item of a bin names it
-        table = table.set_column(table.schema.get_field_index("bin"), "bin", pa.array(name[bins][inverse]))
-        moved = pc.add(table["offset"], pa.array(shift[inverse]))
-        table = table.set_column(table.schema.get_field_index("offset"), "offset", moved)
-        full = pa.array((total >= capacity - slack)[bins][inverse])
-        table = table.set_column(table.schema.get_field_index("closed"), "closed", full)
+        total = np.bincount(bins, fills).astype(np.int64)
+        for column, values in (("into", name[bins]), ("offset", place), ("total", total[bins])):
+            table = table.append_column(column, pa.array(values))
         yield from table.combine_chunks().to_batches()
 
     return pack
 
 
+def _round(items: DataFrame, k: int, runs: int, capacity: int, size: str) -> DataFrame:
+    kinds = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in items.schema.fields), "into long, offset long, total long"])
+    dealt = items.repartition(runs, F.xxhash64(F.lit(k), "bin"))
+    return materialize(dealt.mapInArrow(_pack_run(capacity, size), kinds), f"round{k}")
+
+
 def pack_pieces(pieces: DataFrame, capacity: int, *, slack: int = 8, run_items: int = 100_000, fan_in: int = 8) -> DataFrame:
     """pieces (bin, length, ...) with the columns sequence_id and offset."""
     runs = max(1, math.ceil(pieces.count() / run_items))
-    rows = pieces.withColumn("offset", F.lit(0).cast("long")).withColumn("closed", F.lit(False))
-    done: list[DataFrame] = []
-    open_bins, last = None, None
-    while True:
-        packed = rows.repartition(runs, F.xxhash64("bin")).mapInArrow(_pack_run(capacity, slack), rows.schema)
-        packed = materialize(packed, f"round{len(done)}")
-        discard(last)
-        still = packed.where(~F.col("closed"))
-        before, open_bins = open_bins, still.where(F.col("offset") == 0).count()
-        fewer = max(math.ceil(runs / fan_in), math.ceil(open_bins / run_items))
-        if not open_bins or runs == 1 or fewer >= runs or (before and open_bins > 0.98 * before):
-            done.append(packed)
+    packed = last = _round(pieces, 0, runs, capacity, "length")
+    moves = None  # bin -> the bin it is in by now, and where there
+    for k in count(1):
+        items = last.where((F.col("offset") == 0) & (F.col("total") < capacity - slack)).select(F.col("into").alias("bin"), F.col("total").alias("fill"))
+        n = items.count()
+        fewer = max(math.ceil(runs / fan_in), math.ceil(n / run_items))
+        if not n or fewer >= runs:
             break
-        done.append(packed.where(F.col("closed")))
-        rows, runs = still, fewer
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
-    return out.drop("closed").withColumnRenamed("bin", "sequence_id")
+        runs, before = fewer, moves
+        last = _round(items, k, runs, capacity, "fill")
+        step = last.select("bin", "into", F.col("offset").alias("shift"))
+        if moves is None:
+            moves = step
+        else:
+            further = step.select(F.col("bin").alias("into"), F.col("into").alias("to"), F.col("shift").alias("more"))
+            joined = moves.join(further, "into", "left")
+            moves = materialize(joined.select("bin", F.coalesce("to", "into").alias("into"), (F.col("shift") + F.coalesce("more", F.lit(0).cast("long"))).alias("shift")), "moves")
+            discard(before)
+    out = packed.drop("bin", "total").withColumnRenamed("into", "sequence_id")
+    if moves is None:
+        return out
+    moved = moves.select(F.col("bin").alias("sequence_id"), "into", "shift")
+    out = out.join(moved, "sequence_id", "left")
+    offset = F.col("offset") + F.coalesce("shift", F.lit(0).cast("long"))
+    return out.withColumns({"offset": offset, "sequence_id": F.coalesce("into", "sequence_id")}).drop("into", "shift")
 
 
 def pack_documents(
@@ -197,12 +212,14 @@ def pack_documents(
 
     Defined cases: a null or empty text is the end token alone; null and repeated identifiers are
     packed like any others, each row by itself; very long texts are cut into as many pieces as it
-    takes; texts that look like special tokens are ordinary text; ties go to the piece that comes
+    takes; the strings of special tokens are those tokens; ties go to the piece that comes
     first in the input; an empty table gives an empty table; other columns are not read, whatever
     their names.
     """
     pieces = token_pieces(docs, id_col, text_col, capacity, end_id, files or vocabulary_files())
-    packed = pack_pieces(materialize(pieces, "pieces"), capacity, slack=slack, run_items=run_items, fan_in=fan_in)
+    pieces = materialize(pieces, "pieces")
+    packed = pack_pieces(pieces, capacity, slack=slack, run_items=run_items, fan_in=fan_in)
+    discard(pieces)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 

@@ -13,7 +13,6 @@ from meshwork.llm.packing import _encoder, best_fit, cut, pack_documents, pack_p
 @pytest.fixture(scope="module")
 def reference():
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return lambda text: [*t.encode(text, add_special_tokens=False).ids, 2]
 
 
@@ -50,14 +49,14 @@ def holds(rows, docs, encode, capacity):
 def test_fast_encoder_gives_the_ids_of_the_tokenizer(spark, reference):
     encode = _encoder(*vocabulary_files())
     texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
-    texts += ["", " ", "\n\n  x", "a" * 30000, " " * 30000, "\n" * 5000 + "x", "<|endoftext|>", "é́ 🙂🙂 ｆｕｌｌ", "1234567890" * 500, "it's we'll I'd'VE", "   x", "\0\x01"]
+    texts += ["", " ", "\n\n  x", "a" * 30000, " " * 30000, "\n" * 5000 + "x", "<|endoftext|>", "a <|endoftext|> b", "x\n<|endoftext|><|endoftext|>  y<|endoftext|", "a" * 30000 + "<|endoftext|> b", "é́ 🙂🙂 ｆｕｌｌ", "1234567890" * 500, "it's we'll I'd'VE", "   x", "\0\x01"]
     for t in texts:
         assert [*encode(t), 2] == reference(t)
 
 
 def test_round_trip(spark, reference):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
-    docs += [(10**6, None), (10**6 + 1, ""), (10**6 + 2, "word " * 30000)]
+    docs += [(10**6, None), (10**6 + 1, ""), (10**6 + 2, "word " * 30000), (10**6 + 3, "a <|endoftext|> b")]
     frame = spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id long, text string, offset int").repartition(5)
     rows = pack_documents(frame, run_items=60).collect()
     sequences = holds(rows, docs, reference, 1024)
@@ -108,3 +107,14 @@ def test_rounds_merge_underfull_bins(spark):
     assert sum(fill.values()) == sum(sizes)
     assert max(fill.values()) <= 1024
     assert len(fill) <= 1.05 * sum(sizes) / 1024
+    places = defaultdict(list)
+    for r in rows:
+        places[r.sequence_id].append((r.offset, r.length))
+    for parts in places.values():  # no gaps, whatever rounds a bin went through
+        assert [a for a, _ in sorted(parts)] == np.cumsum([0, *(n for _, n in sorted(parts)[:-1])]).tolist()
+
+
+def test_bins_that_do_not_fit_together_stay(spark):
+    pieces = spark.createDataFrame([(k, 600) for k in range(1000)], "bin long, length long")
+    rows = pack_pieces(pieces, 1024, run_items=100, fan_in=4).collect()
+    assert len({r.sequence_id for r in rows}) == 1000 and {r.offset for r in rows} == {0}
