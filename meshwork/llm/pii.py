@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import read_table
-from .spans import SPAN, Kind, digits, joined, spans
+from .spans import SPAN, Kind, base_sql, digits, joined, spans
 
 #: Words that count within NEAR characters of a span, before it or after it.
 CONTEXT = {
@@ -133,3 +133,21 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(joined(F.col("base"), by_kind=True), 256).alias("base_sha256"),
         joined(F.concat("base", "added"), by_kind=True).alias("spans"),
     )
+
+
+def base_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op7: counts and places of the base kinds."""
+    return op7_pii(spark, sf_dir).drop("spans")
+
+
+_DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
+_LUHN = f"""list_sum(list_transform(string_split(reverse({_DIGITS}), ''), lambda x, i: CASE WHEN i % 2 = 1 THEN x::INTEGER WHEN x::INTEGER > 4 THEN 2 * x::INTEGER - 9 ELSE 2 * x::INTEGER END)) % 10 = 0"""
+BASE_SQL = base_sql(
+    [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+        ("ip", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "len(list_filter(string_split(m, '.'), lambda x: x::HUGEINT > 255)) = 0"),
+        ("card", r"[0-9](?:[\x20-]?[0-9])+", f"length({_DIGITS}) BETWEEN 16 AND 19 AND {_LUHN}"),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 8 AND 15"),
+    ],
+    by_kind=True,
+)

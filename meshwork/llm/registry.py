@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+from . import pii, secrets
 from .decontamination import OP9_SQL, op9_benchmark_decontamination
 from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .linededup import OP10_SQL, op10_line_dedup
-from .minhash import op8_minhash_near_dedup
+from .minhash import OP8_SQL, op8_minhash_near_dedup
 from .packing import op1_best_fit_packing
 from .pii import op7_pii
-from .repeats import op3_suffix_array_dedup
+from .repeats import OP3_SQL, op3_suffix_array_dedup
 from .secrets import op4_secret_scan
-from .sharding import op2_sharding
+from .sharding import OP2_SQL, op2_sharding
 from .toxicity import op5_toxicity
 
 QUERIES = {
@@ -24,9 +25,16 @@ QUERIES = {
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_line_dedup": op10_line_dedup,
+    "base_secret_spans": secrets.base_secret_spans,
+    "base_pii_spans": pii.base_pii_spans,
 }
 ORACLES = {
+    "op2_sharding": OP2_SQL,
+    "op3_suffix_array_dedup": OP3_SQL,
     "op6_exact_dedup": OP6_SQL,
+    "op8_minhash_near_dedup": OP8_SQL,
     "op9_benchmark_decontamination": OP9_SQL,
     "op10_line_dedup": OP10_SQL,
+    "base_secret_spans": secrets.BASE_SQL,
+    "base_pii_spans": pii.BASE_SQL,
 }

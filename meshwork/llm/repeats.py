@@ -155,9 +155,12 @@ def _window_hashes(length: int):
         for batch in batches:
             for row, at, n, copies, text in zip(*(batch.column(c).to_pylist() for c in ("row_key", "start", "n", "copies", "bytes")), strict=True):
                 _, h = gram_hashes(np.frombuffer(text, np.uint8))
-                with np.errstate(over="ignore"):
-                    x = spread(h[:n] * np.uint64(0x9E3779B97F4A7C15) + h[length - 256 : length - 256 + n])
-                    y = spread(h[:n] + h[length - 256 : length - 256 + n] * np.uint64(0xC2B2AE3D27D4EB4F))
+                x, y = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+                for k in [*range(0, length - 256, 256), length - 256]:  # every byte of a window is in one of these
+                    part = h[k : k + n]
+                    with np.errstate(over="ignore"):
+                        x = spread(x * np.uint64(0x9E3779B97F4A7C15) + part)
+                        y = spread(y + part * np.uint64(0xC2B2AE3D27D4EB4F))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(n, row)), pa.array(at + np.arange(n)), pa.array(x.view(np.int64)), pa.array(y.view(np.int64)), pa.array(np.full(n, copies))],
                     names=["row_key", "start", "x", "y", "copies"],
@@ -257,3 +260,18 @@ def remove_repeats(
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeats(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Bytes as pairs of hex digits; windows of 400 bytes are compared by hash.
+OP3_SQL = """
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+ c AS (SELECT doc_id, k * 1000 AS o, substr(h, k * 2000 + 1, 2798) AS h, length(h) // 2 AS n FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2000 + 1)) AS k FROM b)),
+ w AS (SELECT doc_id, o + i AS pos, hash(substr(h, 2 * i + 1, 800)) AS v FROM (SELECT doc_id, o, h, unnest(range(0, least(1000, length(h) // 2 - 399))) AS i FROM c WHERE length(h) >= 800)),
+ r AS (SELECT doc_id, pos FROM w JOIN (SELECT v FROM w GROUP BY v HAVING count(*) > 1) USING (v)),
+ s AS (SELECT doc_id, pos, CASE WHEN pos > lag(pos) OVER x + 400 THEN 1 ELSE 0 END AS new FROM r WINDOW x AS (PARTITION BY doc_id ORDER BY pos)),
+ g AS (SELECT doc_id, min(pos) AS a, max(pos) + 400 AS z FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY pos) AS g FROM s) GROUP BY doc_id, g),
+ k AS (SELECT doc_id, a, z, lag(z, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM g),
+ e AS (SELECT doc_id, sum(z - a) AS gone, count(*) AS spans, max(z) AS last, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept FROM k JOIN b USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+ sha256(unhex(CASE WHEN last IS NULL THEN h ELSE kept || substr(h, 2 * last + 1) END)) AS kept_sha256 FROM b LEFT JOIN e USING (doc_id)
+"""

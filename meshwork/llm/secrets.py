@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import read_table
-from .spans import SPAN, Kind, joined, spans
+from .spans import SPAN, Kind, base_sql, joined, spans
 
 WINDOW = 20
 ALPHABET = string.ascii_letters + string.digits + "+/_=-"
@@ -149,3 +149,18 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(joined(F.col("base"), by_kind=False), 256).alias("base_sha256"),
         joined(F.concat("base", "added"), by_kind=False).alias("spans"),
     )
+
+
+def base_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op4: counts and places of the base kinds."""
+    return op4_secret_scan(spark, sf_dir).drop("spans")
+
+
+BASE_SQL = base_sql(
+    [
+        ("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", "length(regexp_extract(m, PATTERN, 1)) >= 12"),
+        ("access", "AKIA[A-Z0-9]+", "length(m) >= 18"),
+        ("hex", "[0-9a-f]+", "length(m) >= 16"),
+    ],
+    by_kind=False,
+)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .shared import materialize, read_table
 
-#: Buckets of a random order. A bucket of n rows holds about n / BUCKETS of them.
+#: Buckets of a random order, of 12 of a hash's 60 bits. A bucket of n rows holds about n / BUCKETS of them.
 BUCKETS = 4096
 
 
@@ -34,6 +34,12 @@ def _stratum_rank(rows: DataFrame, order: list[Column]) -> DataFrame:
     return rows.join(counts, keys).withColumn("rank", F.col("before") + within).drop("before")
 
 
+def _hash(digits: int, *parts: Column) -> Column:
+    """A number of so many hex digits, which other engines can make as well."""
+    text = F.concat_ws("|", *(p.cast("string") for p in parts))
+    return F.conv(F.substring(F.md5(F.encode(text, "UTF-8")), 1, digits), 16, 10).cast("long")
+
+
 def stratified_shards(
     docs: DataFrame,
     n_shards: int,
@@ -61,20 +67,21 @@ def stratified_shards(
         (F.octet_length(text).cast("long") + 8).alias("size"),
         F.crc32(text).alias("text_crc32"),
     )
-    shuffled = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text_crc32"), F.col("size"))
+    shuffled = _hash(15, F.lit(seed), F.col("doc_id"), F.col("size"))
     rows = rows.select(
         "*",
         F.struct(F.col("source").isNull(), F.coalesce("source", F.lit(""))).alias("stratum"),
         shuffled.alias("h"),
-        F.pmod(F.shiftright(shuffled, 20), F.lit(BUCKETS)).alias("bucket"),
+        F.shiftright(shuffled, 48).alias("bucket"),
     )
     rows = materialize(rows, "rows")
     total = rows.count()
-    ranked = _stratum_rank(rows, [F.col("h"), F.col("doc_id")])
-    offset = F.pmod(F.xxhash64(F.lit(seed), F.col("stratum")), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    tie = [F.col("h"), F.col("doc_id"), F.col("text_crc32")]
+    ranked = _stratum_rank(rows, tie)
+    offset = _hash(5, F.lit(seed), F.col("source").isNull(), F.coalesce("source", F.lit(""))) / F.lit(float(1 << 20))
     ranked = ranked.withColumn("fraction", (F.col("rank") + offset) / F.col("n_source"))
     ranked = ranked.withColumn("slice", F.least(F.floor(F.col("fraction") * BUCKETS), F.lit(BUCKETS - 1).cast("long")))
-    order = [F.col("fraction"), F.col("stratum"), F.col("h"), F.col("doc_id")]
+    order = [F.col("fraction"), F.col("stratum"), *tie]
     placed = _global_rank(ranked, "slice", order)
     shard = F.expr(f"(place * {n_shards}L) div {max(total, 1)}L")
     first = F.expr(f"(shard * {total}L + {n_shards - 1}L) div {n_shards}L")
@@ -99,3 +106,30 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+#: CRC-32 has no function there: its table is made by the rule, and bytes are folded in one by one.
+OP2_SQL = """
+WITH RECURSIVE b(k, j, c) AS (
+  SELECT k, 0, k FROM (SELECT unnest(range(0, 256))::UINTEGER AS k)
+  UNION ALL SELECT k, j + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UINTEGER) ELSE c >> 1 END FROM b WHERE j < 8
+), t AS (SELECT list(c ORDER BY k) AS t FROM b WHERE j = 8),
+d AS (
+  SELECT doc_id, source, octet_length(encode(coalesce(text, ''))) + 8 AS size,
+         list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::UINTEGER) AS bytes
+  FROM documents
+), r AS (
+  SELECT doc_id, source, size,
+         xor(list_reduce(list_prepend(4294967295::UINTEGER, bytes), lambda c, x: xor(t[(xor(c, x) & 255)::INTEGER + 1], c >> 8)), 4294967295::UINTEGER) AS crc,
+         ('0x' || substr(md5(concat_ws('|', '0', doc_id, size)), 1, 15))::BIGINT AS h,
+         ('0x' || substr(md5(concat_ws('|', '0', CASE WHEN source IS NULL THEN 'true' ELSE 'false' END, coalesce(source, ''))), 1, 5))::BIGINT / 1048576.0::DOUBLE AS o
+  FROM d, t
+), k AS (
+  SELECT *, (row_number() OVER (PARTITION BY source ORDER BY h, doc_id, crc) - 1 + o) / count(*) OVER (PARTITION BY source) AS f FROM r
+), p AS (
+  SELECT *, row_number() OVER (ORDER BY f, source IS NULL, coalesce(source, ''), h, doc_id, crc) - 1 AS place, count(*) OVER () AS n FROM k
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(crc AS BIGINT) AS text_crc32, 'rows' AS law, CAST(place * 24 // n AS INTEGER) AS shard,
+       CAST(place - ((place * 24 // n) * n + 23) // 24 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM p
+"""

@@ -113,3 +113,26 @@ def joined(found: Column, by_kind: bool) -> Column:
 
 def digits(match: Column) -> Column:
     return F.regexp_replace(match, "[^0-9]", "")
+
+
+def base_sql(kinds: list[tuple[str, str, str]], by_kind: bool) -> str:
+    """SQL of the base spans of documents: kinds are (name, pattern, condition on a match m)."""
+    found = []
+    for rank, (name, pattern, condition) in enumerate(kinds):
+        quoted = "'" + pattern.replace("'", "''") + "'"
+        found.append(f"""
+  SELECT doc_id, {rank} AS rank, '{name}' AS kind, e - length(m) AS s, e FROM (
+    SELECT doc_id, m, sum(length(g) + length(m)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM (
+      SELECT doc_id, unnest(ms) AS m, unnest(gs[1:len(ms)]) AS g, unnest(range(len(ms))) AS i FROM (
+        SELECT doc_id, regexp_extract_all(coalesce(text, ''), {quoted}) AS ms, regexp_split_to_array(coalesce(text, ''), {quoted}) AS gs FROM documents) WHERE len(ms) > 0))
+  WHERE {condition.replace("PATTERN", quoted)}""")
+    order = "rank, s" if by_kind else "s, rank"
+    counts = ", ".join(f"coalesce(n_{name}, 0) AS n_{name}" for name, _, _ in kinds)
+    sums = ", ".join(f"count(*) FILTER (WHERE kind = '{name}') AS n_{name}" for name, _, _ in kinds)
+    return f"""
+WITH x AS ({" UNION ALL ".join(found)}
+), a AS (
+  SELECT doc_id, {sums}, string_agg(kind || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY {order}) AS v FROM x GROUP BY doc_id
+)
+SELECT doc_id, {counts}, sha256(coalesce(v, '')) AS base_sha256 FROM documents LEFT JOIN a USING (doc_id)
+"""
