@@ -7,30 +7,32 @@ place of it: no shared window goes unseen. A hit of fingerprints gives a shift o
 the document; the shift is extended by comparing the words themselves, and every stretch of
 `window` equal words marks those words of the document.
 
-Items of fewer words than a window have no winnowing guarantee. They are found by the hash of
-their first gram (or of their first word, if they have fewer words than a gram), looked up at
-every place of a document; these lookups are part of the plan only if such items exist.
-
-Before fingerprints leave a document's row they are probed against a filter of fixed size (BITS
-places, three per fingerprint) made of the benchmark's fingerprints. So a document that shares
-none costs one pass and no shuffled row. The filter only saves work: if a large benchmark fills
-it, more fingerprints go to the join, and the result is the same.
+Items of fewer words than a window have no winnowing guarantee. Such an item's fingerprint is the
+hash of all its words, looked up at every place of a document; what leaves the document's row is the
+place and those few words. A length of short items is part of the plan only if such items exist.
+
+Before fingerprints leave a document's row they are probed against a filter made of the
+benchmark's fingerprints (three places each, of 16 to 32 times as many, MOST_PLACES at most). So a
+document that shares none costs one pass and no shuffled row. The filter only saves work: if a very
+large benchmark fills it, more fingerprints go to the join, and the result is the same.
 """
 
 from __future__ import annotations
 
 import string
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import keyed, materialize, read_table
 
 GRAM = 5
-BITS = 1 << 16
+#: Bytes of the largest filter, a constant of the plan.
+MOST_PLACES = 1 << 21
 SEPARATORS = r"[\x00-/:-`{-\x7F]+"
-#: Kinds of fingerprints: of winnowed windows, of the first gram, of the first word.
-WINNOWED, FIRST_GRAM, FIRST_WORD = 0, 1, 2
+#: Kinds of fingerprints: of winnowed windows; other kinds are the numbers of words of short items.
+WINNOWED = 0
 
 
 def words_of(text: Column) -> Column:
@@ -61,29 +63,31 @@ def _print(kind: int, pos: Column, value: Column) -> Column:
     return F.struct(F.lit(kind).alias("kind"), pos.alias("pos"), value.alias("hash"))
 
 
-def _places(value: Column) -> list[Column]:
-    return [F.pmod(F.shiftright(value, s), F.lit(BITS)).cast("int") for s in (0, 16, 32)]
+def _places(value: Column, places: int) -> list[Column]:
+    return [F.pmod(F.shiftright(value, shift), F.lit(places)).cast("int") for shift in (0, 21, 42)]
 
 
-def _filter_of(prints: DataFrame, kind: int):
-    """A predicate on hashes, true for all of that kind in prints; None if there are none.
+def _filter_of(prints: DataFrame, kind: int, count: int):
+    """A predicate on hashes, true for all `count` of that kind in prints.
 
-    What comes to the driver are distinct places, BITS at most."""
-    rows = prints.where(F.col("kind") == kind).select(F.explode(F.array(*_places(F.col("hash")))).alias("p")).distinct().collect()
-    if not rows:
-        return None
-    table = bytearray(BITS)
-    for r in rows:
-        table[r.p] = 1
-    literal, one = F.lit(bytes(table)), F.lit(b"\x01")
+    What comes to the driver are distinct places, MOST_PLACES at most."""
+    places = min(MOST_PLACES, 1 << (16 * count - 1).bit_length())
+    rows = prints.where(F.col("kind") == kind).select(F.explode(F.array(*_places(F.col("hash"), places))).alias("p")).distinct()
+    table = np.zeros(places, np.uint8)
+    table[rows.toArrow()["p"].to_numpy()] = 1
+    literal, one = F.lit(table.tobytes()), F.lit(b"\x01")
 
     def keep(value: Column) -> Column:
-        found = [F.substring(literal, p + 1, 1) == one for p in _places(value)]
+        found = [F.substring(literal, p + 1, 1) == one for p in _places(value, places)]
         return found[0] & found[1] & found[2]
 
     return keep
 
 
+def _hash_at(w: Column, i: Column, n: int) -> Column:
+    return F.xxhash64(*(F.get(w, i + k) for k in range(n)))
+
+
 def contamination(
     docs: DataFrame,
     items: DataFrame,
@@ -113,35 +117,30 @@ def contamination(
     entries = entries.where(F.size("iw") > 0).groupBy("iw").agg(F.collect_set("item_id").alias("ids"))
     entries = materialize(entries.select(F.monotonically_increasing_id().alias("entry"), "iw", "ids"), "entries")
     n, w = F.size("iw"), F.col("iw")
-    first_gram, first_word = F.xxhash64(*(F.get(w, F.lit(k)) for k in range(GRAM))), F.xxhash64(F.get(w, F.lit(0)))
+    whole = F.lit(0).cast("long")
+    for k in range(1, window):
+        whole = F.when(n == k, _hash_at(w, F.lit(0), k)).otherwise(whole)
     prints = entries.withColumn("g", _grams(w)).select(
-        "entry",
-        F.explode(
-            F.when(n >= window, _winnowed(F.col("g"), span))
-            .when(n >= GRAM, F.array(_print(FIRST_GRAM, F.lit(0), first_gram)))
-            .otherwise(F.array(_print(FIRST_WORD, F.lit(0), first_word)))
-        ).alias("p"),
+        "entry", F.explode(F.when(n >= window, _winnowed(F.col("g"), span)).otherwise(F.array(F.struct(n.alias("kind"), F.lit(0).alias("pos"), whole.alias("hash"))))).alias("p")
     )
     prints = materialize(prints.select("entry", F.col("p.kind").alias("kind"), F.col("p.pos").alias("item_pos"), F.col("p.hash").alias("hash")), "prints")
-    keep = {k: _filter_of(prints, k) for k in (WINNOWED, FIRST_GRAM, FIRST_WORD)}
+    keep = {r.kind: _filter_of(prints, r.kind, r["count"]) for r in prints.groupBy("kind").count().collect()}  # window kinds at most
 
     rows = keyed(docs, F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.select("row_key", "doc_id", words_of(F.col("text")).alias("w"))
-    w, found = F.col("w"), []
-    if keep[WINNOWED] or keep[FIRST_GRAM]:
-        rows = rows.withColumn("g", _grams(w))
-    if keep[WINNOWED]:
-        found.append(_winnowed(F.col("g"), span, keep[WINNOWED]))
-    if keep[FIRST_GRAM]:
-        at = F.filter(_upto(F.size("g")), lambda i: keep[FIRST_GRAM](F.get(F.col("g"), i)))
-        found.append(F.transform(at, lambda i: _print(FIRST_GRAM, i, F.get(F.col("g"), i))))
-    if keep[FIRST_WORD]:
-        at = F.filter(_upto(F.size(w)), lambda i: keep[FIRST_WORD](F.xxhash64(F.get(w, i))))
-        found.append(F.transform(at, lambda i: _print(FIRST_WORD, i, F.xxhash64(F.get(w, i)))))
+    w = F.col("w")
     nothing = F.array().cast("array<struct<kind:int,pos:int,hash:bigint>>")
-    rows = rows.withColumn("prints", F.concat(*found) if found else nothing)
-    some = F.size("prints") > 0
-    rows = materialize(rows.select("row_key", "doc_id", F.size("w").cast("long").alias("n_words"), "prints", F.when(some, F.col("w")).alias("w")), "prints")
+    found, short = nothing, []
+    if WINNOWED in keep:
+        rows = rows.withColumn("g", _grams(w))  # a column, so that lambdas read it and don't make it again
+        found = _winnowed(F.col("g"), span, keep[WINNOWED])
+    for k in sorted(set(keep) - {WINNOWED}):
+        at = F.filter(_upto(F.size(w) - (k - 1)), lambda i: keep[k](_hash_at(w, i, k)))  # noqa: B023
+        short.append(F.transform(at, lambda i: F.struct(F.lit(k).alias("kind"), i.alias("pos"), _hash_at(w, i, k).alias("hash"), F.slice(w, i + 1, k).alias("words"))))  # noqa: B023
+    listed = F.concat(*short) if short else F.array().cast("array<struct<kind:int,pos:int,hash:bigint,words:array<string>>>")
+    rows = rows.withColumns({"prints": found, "short": listed})
+    kept = F.when(F.size("prints") > 0, w)
+    rows = materialize(rows.select("row_key", "doc_id", F.size("w").cast("long").alias("n_words"), "prints", "short", kept.alias("w")), "prints")
 
     seen = rows.where(F.size("prints") > 0).select("row_key", F.explode("prints").alias("p"))
     seen = seen.select("row_key", F.col("p.kind").alias("kind"), F.col("p.pos").alias("pos"), F.col("p.hash").alias("hash"))
@@ -149,10 +148,13 @@ def contamination(
     pairs = shifts.join(rows.where(F.size("prints") > 0).select("row_key", "w"), "row_key").join(entries, "entry")
     w, iw, shift = F.col("w"), F.col("iw"), F.col("shift")
     pairs = pairs.withColumn("equal", F.transform(_upto(F.size(iw)), lambda i: F.coalesce(F.get(w, i + shift) == F.get(iw, i), F.lit(False))))
-    length = F.least(F.lit(window), F.size(iw))
-    pairs = pairs.withColumn("starts", F.filter(_upto(F.size(iw) - length + 1), lambda s: F.forall(F.slice("equal", s + 1, length), lambda x: x)))
-    hit = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s + shift, s + shift + length - 1))))
+    pairs = pairs.withColumn("starts", F.filter(_upto(F.size(iw) - window + 1), lambda s: F.forall(F.slice("equal", s + 1, window), lambda x: x)))
+    hit = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s + shift, s + shift + window - 1))))
     hits = pairs.where(F.size("starts") > 0).select("row_key", hit.alias("hit"), "ids")
+    if short:
+        seen = rows.where(F.size("short") > 0).select("row_key", F.explode("short").alias("p")).select("row_key", "p.*")
+        pairs = seen.join(prints, ["kind", "hash"]).join(entries, "entry").where(F.col("words") == F.col("iw"))
+        hits = hits.unionByName(pairs.select("row_key", F.sequence(F.col("pos"), F.col("pos") + F.col("kind") - 1).alias("hit"), "ids"))
     hits = hits.groupBy("row_key").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("hit")))).cast("long").alias("n_hit"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("item_ids"),

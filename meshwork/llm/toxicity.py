@@ -40,6 +40,21 @@ IDENTITY_TERMS: dict[str, tuple[str, ...]] = {
     "colour": ("black", "white", "latino", "latina", "brown"),
     "ability": ("deaf", "blind", "disabled", "autistic"),
     "age": ("old", "young", "elderly", "teenage"),
+    "gender_de": ("frau", "mann"),
+    "gender_plural_de": ("frauen", "männer"),
+    "religion_de": ("muslim", "christ", "jude", "hindu", "buddhist", "atheist"),
+    "origin_de": ("afrikanisch", "asiatisch", "europäisch", "amerikanisch", "arabisch", "türkisch"),
+    "age_de": ("alt", "jung"),
+    "gender_fr": ("femme", "homme"),
+    "gender_plural_fr": ("femmes", "hommes"),
+    "religion_fr": ("musulman", "chrétien", "juif", "hindou", "bouddhiste", "athée"),
+    "origin_fr": ("africain", "asiatique", "européen", "américain", "arabe"),
+    "age_fr": ("vieux", "jeune"),
+    "gender_es": ("mujer", "hombre"),
+    "gender_plural_es": ("mujeres", "hombres"),
+    "religion_es": ("musulmán", "cristiano", "judío", "hindú", "budista", "ateo"),
+    "origin_es": ("africano", "asiático", "europeo", "americano", "árabe"),
+    "age_es": ("viejo", "joven"),
 }
 
 
@@ -59,11 +74,14 @@ def text_features(text: str) -> np.ndarray:
 
 def swaps(text: str, groups: dict[str, tuple[str, ...]]) -> list[tuple[str, str]]:
     """(term, other term of its group) for every identity term of every sentence."""
-    group_of = {t: ts for ts in groups.values() for t in ts}
+    others: dict[str, set[str]] = {}  # a term may be of several groups, as languages share words
+    for terms in groups.values():
+        for t in terms:
+            others.setdefault(t, set()).update(x for x in terms if x != t)
     out = []
     for sentence in SENTENCE.findall(text.lower()):
         for word in WORD.findall(sentence):
-            out += [(word, t) for t in group_of.get(word, ()) if t != word]
+            out += [(word, t) for t in sorted(others.get(word, ()))]
     return out
 
 
