@@ -4,7 +4,8 @@ Features of a text are its distinct words and the four- and five-letter beginnin
 A logistic regression on the features that tell the classes apart is fitted to a bounded sample of
 the labelled rows. Its loss has, beside the log-loss and an L2 term, a counterfactual term: in every
 labelled sentence that names an identity, the term is swapped for each other term of its group, and
-the squared change of the sentence's score is penalised. As a sentence's score is a sum over words,
+left out, and the squared change of the sentence's score is penalised. (Swaps among a group's terms
+alone would let a whole group keep a score that toxic sentences gave to one of its terms.) As a sentence's score is a sum over words,
 a swap changes it by the difference of the two words' weights, so the pairs of terms and their
 counts, a table bounded by the list of terms, are all that the penalty needs from the corpus.
 
@@ -59,6 +60,9 @@ IDENTITY_TERMS: dict[str, tuple[str, ...]] = {
 
 
 def word_features(word: str) -> list[int]:
+    """The features of a word; none of the empty word, which stands for a term left out."""
+    if not word:
+        return []
     data = word.encode()
     out = [zlib.crc32(b"w" + data) % WIDTH]
     for k in (4, 5):
@@ -73,7 +77,7 @@ def text_features(text: str) -> np.ndarray:
 
 
 def swaps(text: str, groups: dict[str, tuple[str, ...]]) -> list[tuple[str, str]]:
-    """(term, other term of its group) for every identity term of every sentence."""
+    """(term, other term of its group, or none) for every identity term of every sentence."""
     others: dict[str, set[str]] = {}  # a term may be of several groups, as languages share words
     for terms in groups.values():
         for t in terms:
@@ -81,7 +85,8 @@ def swaps(text: str, groups: dict[str, tuple[str, ...]]) -> list[tuple[str, str]
     out = []
     for sentence in SENTENCE.findall(text.lower()):
         for word in WORD.findall(sentence):
-            out += [(word, t) for t in sorted(others.get(word, ()))]
+            if word in others:
+                out += [(word, t) for t in ("", *sorted(others[word]))]
     return out
 
 

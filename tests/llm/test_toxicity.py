@@ -59,6 +59,32 @@ def test_counterfactual_term_spares_neutral_mentions():
     assert probability(tied, "word1 scum word2") > 0.5
 
 
+def test_counterfactual_term_lowers_false_positives_on_neutral_mentions():
+    """Held-out sentences that mention a group: share of neutral ones called toxic, and of toxic ones found."""
+    rng = random.Random(1)
+    words = [f"word{i}" for i in range(60)]
+    terms = ["muslim", "jewish", "gay", "lesbian", "musulman", "juif"]
+
+    def sentences(n, mentioned):
+        for i in range(n):
+            body = rng.sample(words, 8)
+            toxic = i % 4 == 0
+            if toxic and rng.random() < 0.8:  # not every toxic sentence has a word that gives it away
+                body.append(rng.choice(["scum", "vermin"]))
+            if rng.random() < (0.9 if toxic else mentioned):
+                body.append(rng.choice(terms))
+            yield " ".join(body), int(toxic)
+
+    rows, held = list(sentences(1600, 0.03)), list(sentences(1600, 1.0))
+    called = {}
+    for weight in (0.0, 10.0):
+        w = train(rows, counterfactual=weight)
+        flags = [(t, probability(w, x) >= 0.3) for x, t in held]
+        called[weight] = (np.mean([f for t, f in flags if not t]), np.mean([f for t, f in flags if t]))
+    assert called[10.0][0] < called[0.0][0] / 2, called
+    assert called[10.0][1] > 0.7, called
+
+
 def test_odd_rows(spark):
     docs = [(1, "you scum"), (2, "fine words"), (3, None), (4, ""), (None, "you scum"), (2, "other words"), (5, "scum " + "word " * 200000)]
     docs += [(100 + i, "bad scum here" if i % 2 else "nice day here") for i in range(60)]
