@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import read_table
-from .spans import SPAN, Kind, base_sql, digits, joined, spans
+from .spans import SPAN, Kind, base_sql, digits, joined, scores, spans
 
 #: Words that count within NEAR characters of a span, before it or after it.
 CONTEXT = {
@@ -132,12 +132,13 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *(count(k.name) for k in KINDS),
         F.sha2(joined(F.col("base"), by_kind=True), 256).alias("base_sha256"),
         joined(F.concat("base", "added"), by_kind=True).alias("spans"),
+        scores(F.concat("base", "added"), by_kind=True).alias("scores"),
     )
 
 
 def base_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What SQL can say of op7: counts and places of the base kinds."""
-    return op7_pii(spark, sf_dir).drop("spans")
+    return op7_pii(spark, sf_dir).drop("spans", "scores")
 
 
 _DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"

@@ -104,13 +104,22 @@ def _placed(pairs: Column) -> Column:
     return F.flatten(F.transform(zipped, block))
 
 
-def joined(found: Column, by_kind: bool) -> Column:
-    """kind:start:end of the spans, comma-joined, by kind then start or by start then kind."""
+def _in_order(found: Column, by_kind: bool, value) -> Column:
     first, second = ("rank", "start") if by_kind else ("start", "rank")
-    keyed = F.transform(found, lambda x: F.struct(x[first].alias("a"), x[second].alias("b"), F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string")).alias("v")))
+    keyed = F.transform(found, lambda x: F.struct(x[first].alias("a"), x[second].alias("b"), value(x).alias("v")))
     return F.array_join(F.transform(F.array_sort(keyed), lambda x: x["v"]), ",")
 
 
+def joined(found: Column, by_kind: bool) -> Column:
+    """kind:start:end of the spans, comma-joined, by kind then start or by start then kind."""
+    return _in_order(found, by_kind, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string")))
+
+
+def scores(found: Column, by_kind: bool) -> Column:
+    """The spans' scores to two places, in the order of joined()."""
+    return _in_order(found, by_kind, lambda x: F.format_number(x["score"], 2))
+
+
 def digits(match: Column) -> Column:
     return F.regexp_replace(match, "[^0-9]", "")
 
