@@ -346,6 +346,12 @@ def themes(spark, d):
     return rows_of(spark, list(enumerate([*said, plotting.get_theme()])), "k int, says string")
 
 
+@query(f"WITH {ORDER_SQL}, {c._both(ORDER)}, s AS (SELECT node, sum(abs(weight)) AS s FROM b GROUP BY node), m AS (SELECT min(s) AS low, max(s) AS high FROM s) SELECT node, round(330 * (s - low) / (high - low), 4) AS angle FROM s, m")
+def aura_angles(spark, d):
+    found = plotting.aura_angles(cor_network(spark, d))
+    return rows_of(spark, [(n, round(float(a), 4)) for n, a in zip(ORDER, found, strict=True)], "node string, angle double")
+
+
 # Series ----------------------------------------------------------------------------------------
 
 
