@@ -12,8 +12,8 @@ hash of all its words, looked up at every place of a document; what leaves the d
 place and those few words. A length of short items is part of the plan only if such items exist.
 
 Before fingerprints leave a document's row they are probed against a filter made of the
-benchmark's fingerprints (three places each, of at least 128 times as many, MOST_PLACES at most; a
-foreign hash passes with a chance of 1e-5). So a document that shares none costs one pass and no
+benchmark's fingerprints (three places each, of at least 32 times as many, MOST_PLACES at most; a
+foreign hash passes with a chance under 1e-3). So a document that shares none costs one pass and no
 shuffled row. The filter only saves work: if a very large benchmark fills it, more fingerprints go
 to the join, and the result is the same.
 """
@@ -30,7 +30,7 @@ from .shared import keyed, materialize, read_table
 
 GRAM = 5
 #: Bytes of the largest filter, a constant of the plan.
-MOST_PLACES = 1 << 23
+MOST_PLACES = 1 << 19
 SEPARATORS = r"[\x00-/:-`{-\x7F]+"
 #: Kinds of fingerprints: of winnowed windows; other kinds are the numbers of words of short items.
 WINNOWED = 0
@@ -72,7 +72,7 @@ def _filter_of(prints: DataFrame, kind: int, count: int):
     """A predicate on hashes, true for all `count` of that kind in prints.
 
     What comes to the driver are distinct places, MOST_PLACES at most."""
-    places = min(MOST_PLACES, 1 << max(16, (128 * count - 1).bit_length()))
+    places = min(MOST_PLACES, 1 << max(16, (32 * count - 1).bit_length()))
     rows = prints.where(F.col("kind") == kind).select(F.explode(F.array(*_places(F.col("hash"), places))).alias("p")).distinct()
     table = np.zeros(places, np.uint8)
     table[rows.toArrow()["p"].to_numpy()] = 1
