@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from itertools import combinations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.bootstrap import bootnet
@@ -84,11 +84,22 @@ PANEL_SQL = """p AS (
   FROM events GROUP BY 1, 2, 3)"""
 
 
-def panel(spark: SparkSession, d: str) -> DataFrame:
-    """One row per user and day: sums of the values of events of three kinds; beep counts days."""
+def panel(spark: SparkSession, d: str, in_order: bool = False) -> DataFrame:
+    """One row per user and day: sums of the values of events of three kinds; beep counts days.
+
+    in_order: values are added up in the order of event_id, not as tasks hand them in, so that sums
+    of doubles are the same to the last bit whatever the layout of the files.
+    """
     day = F.datediff(F.to_date("ts"), F.lit("1970-01-01").cast("date")).cast("long")
-    kind = lambda k: F.sum(F.when(F.col("event_id") % 3 == k, F.col("value").cast("double")).otherwise(0.0)).alias(f"v{k}")
-    rows = table(spark, d, "events").groupBy(F.col("user_id").alias("subject"), day.alias("beep")).agg(kind(0), kind(1), kind(2))
+    kind = lambda k: F.sum(F.when(F.col("event_id") % 3 == k, F.col("value").cast("double")).otherwise(0.0))
+    events = table(spark, d, "events").withColumns({"subject": F.col("user_id"), "beep": day})
+    if in_order:
+        order = Window.partitionBy("subject", "beep").orderBy("event_id", "value")
+        so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        sums = events.select("subject", "beep", F.row_number().over(order).alias("n"), *(kind(k).over(so_far).alias(f"v{k}") for k in range(3)))
+        rows = sums.groupBy("subject", "beep").agg(F.max_by(F.struct(*PANEL), "n").alias("last")).select("subject", "beep", "last.*")
+    else:
+        rows = events.groupBy("subject", "beep").agg(*(kind(k).alias(f"v{k}") for k in range(3)))
     return rows.withColumn("week", F.expr("beep div 7")).select("subject", "beep", "week", "v0", "v1", "v2")
 
 

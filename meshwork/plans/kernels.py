@@ -150,8 +150,11 @@ def panel_validation(spark, d):
 @query(f"""WITH {_PAIRS}, h AS (SELECT subject, v0_lag, CASE WHEN CAST(floor(v1) AS BIGINT) % 3 <> 0 THEN v1 END AS v1, CASE WHEN CAST(floor(v2_lag) AS BIGINT) % 5 <> 0 THEN v2_lag END AS v2_lag, v1_lag FROM x WHERE gap = 1)
     SELECT subject, count(*) AS n, round(sum(v1 * v1), 4) AS yy, round(sum(v1 * v2_lag), 4) AS xy FROM h WHERE v1 IS NOT NULL AND v2_lag IS NOT NULL GROUP BY subject""")
 def listwise_deletion(spark, d):
-    """A mixed model's sums are over rows where the outcome and all lags are present."""
-    f = lag.lag_pairs(c.panel(spark, d), PANEL, order_by="beep", subject="subject", beep="beep")
+    """A mixed model's sums are over rows where the outcome and all lags are present.
+
+    Whether a row is depends on whole parts of sums, hence sums in order.
+    """
+    f = lag.lag_pairs(c.panel(spark, d, in_order=True), PANEL, order_by="beep", subject="subject", beep="beep")
     keep = lambda x, k: F.when(F.floor(F.col(x)).cast("long") % k != 0, F.col(x))
     sums = multilevel.subject_sums(f.withColumns({"v1": keep("v1", 3), "v2_lag": keep("v2_lag", 5)}), PANEL, "subject", 1)
     return sums.select("subject", "n", F.round("yy", 4).alias("yy"), F.round(F.get("xy", F.lit(3)), 4).alias("xy"))
