@@ -6,6 +6,7 @@ import pytest
 
 from meshwork.llm.components import components
 from meshwork.llm.minhash import likely_similarity, merge, near_duplicates, op8_minhash_near_dedup, sketch
+from meshwork.llm.shared import materialize
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -113,3 +114,29 @@ def test_components_against_union_find(spark):
         parent[max(a, b)] = min(a, b)
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {x: root(x) for e in links if e[0] != e[1] for x in e}
+
+
+def test_components_of_parts(spark):
+    rng = random.Random(2)
+    links = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(i + 1, i) for i in range(1000, 1040)] + [(2100, 2000 + i) for i in range(50)]
+    frame = spark.createDataFrame(links, "a long, b long")
+    whole = {r.node: r.component for r in components(frame).collect()}
+    assert {r.node: r.component for r in components(frame, part=20).collect()} == whole
+    group = {x: {x} for e in links for x in e}
+    for a, b in links:
+        both = group[a] | group[b]
+        group |= dict.fromkeys(both, both)
+    assert whole == {x: min(group[x]) for a, b in links if a != b for x in (a, b)}
+    assert components(frame.limit(0)).count() == 0
+
+
+def test_components_of_few_links_take_few_jobs(spark):
+    frame = materialize(spark.createDataFrame([(i, i + 1) for i in range(100)], "a long, b long"), "links")
+    spark.sparkContext.setJobGroup("few links", "")
+    try:
+        components(frame)
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("few links")
+    finally:
+        for name in ("spark.jobGroup.id", "spark.job.description"):
+            spark.sparkContext.setLocalProperty(name, None)
+    assert len(jobs) <= 6

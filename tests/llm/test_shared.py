@@ -1,7 +1,12 @@
+import ctypes
+import resource
+from pathlib import Path
+
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
-from meshwork.llm.shared import attach, discard, is_scan, keyed, materialize, scratch_root, slices, utf8, with_key
+from meshwork.llm.shared import attach, discard, is_scan, keyed, materialize, scratch_root, settle, slices, trim_native, utf8, with_key
 
 
 def test_attach_gives_a_left_join_of_hot_and_cold_keys(spark):
@@ -61,3 +66,31 @@ def test_texts_of_batches():
     batch = pa.RecordBatch.from_arrays([pa.array(["ab"] * 10 + ["c" * 50])], names=["t"])
     parts = list(slices(iter([batch]), 0, 6))
     assert [p.num_rows for p in parts] == [3, 3, 3, 1, 1]
+
+
+def resident() -> int:
+    return int(Path("/proc/self/statm").read_text().split()[1]) * resource.getpagesize()
+
+
+def test_settle_hands_back_what_the_c_library_holds_free(spark):
+    libc = ctypes.CDLL(None)
+    if not hasattr(libc, "malloc_trim"):
+        pytest.skip("not glibc")
+    libc.malloc.restype, libc.free.argtypes = ctypes.c_void_p, [ctypes.c_void_p]
+    places = [libc.malloc(4000) for _ in range(1 << 14)]
+    for p in places:
+        ctypes.memset(p, 1, 4000)
+    last = places.pop()  # above the others, so that free() alone doesn't give them back
+    for p in places:
+        libc.free(p)
+    held = resident()
+    settle(spark)
+    assert held - resident() > 40e6
+    libc.free(last)
+
+
+def test_trim_native_reaches_the_jvm(spark):
+    """The JVM that the tests run on, 17 on glibc, has the command."""
+    if not hasattr(ctypes.CDLL(None), "malloc_trim"):
+        pytest.skip("not glibc")
+    assert trim_native(spark)
